@@ -108,12 +108,18 @@ def exact_quantiles(
     def at_rank(rank: str) -> str:
         return f"filter(_picked, s -> s._upto > {rank})[0]._v"
 
-    quantiles = ", ".join(
-        f"{at_rank(f'floor({at})')} + ({at_rank(f'ceil({at})')} - {at_rank(f'floor({at})')})"
-        f" * ({at} - floor({at}))"
+    neighbours = ", ".join(
+        f"named_struct('a', {at_rank(f'floor({at})')}, 'b', {at_rank(f'ceil({at})')}, "
+        f"'t', {at} - floor({at}))"
         for at in positions
     )
-    return gathered.selectExpr(*by, f"array({quantiles}) AS quantiles", "_total AS n_values")
+    # From the nearer neighbour, so that both ends are hit exactly.
+    between = "CASE WHEN t.t >= 0.5D THEN t.b - (t.b - t.a) * (1 - t.t) ELSE t.a + (t.b - t.a) * t.t END"
+    return gathered.selectExpr(
+        *by,
+        f"transform(array({neighbours}), t -> {between}) AS quantiles",
+        "_total AS n_values",
+    )
 
 
 def bin_index(value: str, edges: str) -> str:

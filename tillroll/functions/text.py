@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tillroll.functions.numeric import rounded
+
 
 def title_case(x: str) -> str:
     r"""Capital after every non-letter: ``T-Shirt``, ``Children'S Book``.
@@ -21,19 +23,19 @@ def month_label(year: str, month: str) -> str:
 
 
 def in_millions(x: str) -> str:
-    return f"format_string('$%.1fM', ({x}) / 1000000D)"
+    return f"format_string('$%.1fM', {rounded(f'({x}) / 1000000D', 1)})"
 
 
 def in_thousands(x: str) -> str:
-    return f"format_string('%.1fK', ({x}) / 1000D)"
+    return f"format_string('%.1fK', {rounded(f'({x}) / 1000D', 1)})"
 
 
 def dollars(x: str, digits: int = 0) -> str:
-    return f"format_string('$%,.{digits}f', {x})"
+    return f"format_string('$%,.{digits}f', {rounded(x, digits)})"
 
 
 def percent_text(x: str, digits: int = 1) -> str:
-    return f"format_string('%.{digits}f%%', {x})"
+    return f"format_string('%.{digits}f%%', {rounded(x, digits)})"
 
 
 def quoted(text: str) -> str:
