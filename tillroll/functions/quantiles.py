@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import exprs
 
-# Bin probabilities as floating-point division yields them; the plain
-# 0.6 would merge edges of tied data differently.
+# Bin probabilities as floating-point arithmetic yields them (even steps,
+# to percent and back); the plain 0.6 or 2/3 would put edges on tied data elsewhere.
 FIFTHS = [0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0]
-THIRDS = [0.0, 0.3333333333333333, 0.6666666666666666, 1.0]
+THIRDS = [0.0, 0.33333333333333326, 0.6666666666666665, 1.0]
 
 BUCKETS_PER_E_FOLD = 4096
 GROUP_LIMIT = 10_000

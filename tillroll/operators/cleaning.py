@@ -11,6 +11,7 @@ from tillroll.functions.numeric import exprs, percent, rounded
 from tillroll.functions.quantiles import exact_quantiles
 from tillroll.functions.text import quoted, title_case
 from tillroll.schema import AMOUNT_COLUMNS, LABEL_COLUMNS
+from tillroll.sources.staging import staged
 
 # Label spellings that title case leaves apart.
 CATEGORY_SPELLINGS = {"Home & garden": "Home & Garden"}
@@ -77,9 +78,12 @@ def _fill_values(df: DataFrame) -> dict[str, Column]:
     """Median rating and most frequent region and shipping type, as scalar subqueries.
 
     The table is read once, into counts per (region, shipping type, rating); the three
-    values come from that small frame.
+    values come from that small table.
     """
-    counts = df.groupBy("region", "shipping_type", "customer_rating").agg(*exprs(n="count(1)"))
+    counts = staged(
+        df.groupBy("region", "shipping_type", "customer_rating").agg(*exprs(n="count(1)")),
+        "label-counts",
+    )
     median = exact_quantiles(
         counts.selectExpr("*", "'rating' AS of"),
         "customer_rating",
@@ -136,10 +140,13 @@ def add_time_features(df: DataFrame) -> DataFrame:
 
 
 def deduplicated_and_typed(raw: DataFrame) -> DataFrame:
-    return (
+    """The first three steps, staged: the fill values and the filled table both read it,
+    and the shuffle of whole rows should run once."""
+    return staged(
         raw.transform(remove_duplicates)
         .transform(fix_data_types)
-        .transform(standardize_categories)
+        .transform(standardize_categories),
+        "typed",
     )
 
 
@@ -161,8 +168,8 @@ def null_cells(columns: list[str]) -> str:
 def cleaning_metrics(raw: DataFrame) -> DataFrame:
     """What each cleaning step did, as ``(step_no, step, metric, value)`` rows.
 
-    Two passes: a row count of the raw table, and one aggregate over the typed table that
-    carries the row both before and after filling.
+    A row count of the raw table, and one aggregate over the typed table that carries the
+    row both before and after filling.
     """
     columns = list(raw.columns)
     typed = deduplicated_and_typed(raw).selectExpr("*", f"{null_cells(columns)} AS _before")

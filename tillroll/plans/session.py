@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,8 +28,3 @@ def local_session(name: str = "tillroll", cpus: str = "*", shuffle_partitions: i
         .getOrCreate()
     )
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's, or a scratch one where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="tillroll-")

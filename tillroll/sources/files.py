@@ -67,10 +67,12 @@ def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers, written in parallel."""
+    """A folder of CSV parts with headers, written in parallel; blanks are kept."""
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"')
         .option("dateFormat", "yyyy-MM-dd")
         .csv(path)
