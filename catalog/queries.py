@@ -19,6 +19,7 @@ from tillroll.operators import (
     synth,
 )
 from tillroll.schema import CORRELATED_COLUMNS, RAW_COLUMNS
+from tillroll.sources.staging import staged
 from tillroll.sources.star_schema import read_table, sales
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,14 @@ def over_sales(operator: Callable[..., DataFrame], columns: list[str] | None = N
     return lambda spark, sf_dir: operator(sales(spark, sf_dir, columns), **options)
 
 
+def over_table(operator: Callable[..., DataFrame], columns: list[str] | None = None, **options):
+    """An operator that reads its input several times: the joined view is written once, and
+    the passes read it with their own columns and filters."""
+    return lambda spark, sf_dir: operator(
+        staged(sales(spark, sf_dir, columns), "sales"), **options
+    )
+
+
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales with known defects."""
     keyed = sales(spark, sf_dir, [*RAW_COLUMNS, "defect_key"])
@@ -56,6 +65,11 @@ def over_raw(operator: Callable[..., DataFrame], **options):
     return lambda spark, sf_dir: operator(raw_orders(spark, sf_dir), **options)
 
 
+def over_raw_table(operator: Callable[..., DataFrame], **options):
+    """Likewise for several passes over the raw orders."""
+    return lambda spark, sf_dir: operator(staged(raw_orders(spark, sf_dir), "raw"), **options)
+
+
 def after(*steps: Callable[[DataFrame], DataFrame]):
     """Cleaning steps in a row."""
 
@@ -113,8 +127,8 @@ QUERIES: dict[str, Query] = {
     "return_rates": over_sales(reports.return_rate_by_category, _returns),
     "discount_vs_profit": over_sales(reports.discount_vs_profit, _discount),
     "correlation_matrix": over_sales(reports.correlation_matrix, _numbers),
-    "summary_stats": over_sales(reports.summary_statistics, reports.DESCRIBED_COLUMNS),
-    "summary_stats_date": over_sales(reports.describe_dates, ["order_date"]),
+    "summary_stats": over_table(reports.summary_statistics, reports.DESCRIBED_COLUMNS),
+    "summary_stats_date": over_table(reports.describe_dates, ["order_date"]),
     "categorical_summary": over_sales(reports.categorical_summary),
     # Business questions
     "yearly_growth": over_sales(
@@ -126,12 +140,12 @@ QUERIES: dict[str, Query] = {
     "top_payment": over_sales(reports.top_payment, _payment),
     "discount_erosion": over_sales(reports.discount_erosion, _discount),
     "worst_return_category": over_sales(reports.worst_return_category, _returns),
-    "business_answers": over_sales(reports.business_answers, **_named_segments),
+    "business_answers": over_table(reports.business_answers, **_named_segments),
     # Data quality and summaries
     "raw_profile": over_raw(profile.raw_profile),
     "null_report": over_raw(profile.null_report),
     "column_types": over_raw(profile.column_types),
-    "raw_describe": over_raw(profile.raw_describe),
+    "raw_describe": over_raw_table(profile.raw_describe),
     "dirty_values": over_raw(profile.top_values),
     "critical_nulls": over_raw(after(cleaning.clean, profile.critical_nulls)),
     "market_share": over_sales(profile.market_share, _category),
@@ -141,7 +155,7 @@ QUERIES: dict[str, Query] = {
     "revenue_corr_top3": over_sales(profile.revenue_correlations, _numbers),
     "overall_rates": over_sales(profile.overall_rates, ["order_status"]),
     "peak_low_month": over_sales(profile.peak_and_low_month, _trend),
-    "summary_metrics": over_sales(profile.summary_metrics),
+    "summary_metrics": over_table(profile.summary_metrics),
     # Chart data
     "monthly_ma3": over_sales(charts.monthly_revenue_trend, _trend),
     "chart_category": over_sales(charts.category_bars, _category),
@@ -171,20 +185,20 @@ QUERIES: dict[str, Query] = {
     "clv_by_segment": over_sales(
         cohorts.clv_by_segment, [*COHORT, "order_id", "customer_rating", "customer_segment"]
     ),
-    "cohort_insights": over_sales(
+    "cohort_insights": over_table(
         cohorts.cohort_insights, [*COHORT, "order_id", "customer_rating", "customer_segment"]
     ),
     "cohort_overview": over_sales(cohorts.cohort_overview, ["customer_id", "order_date"]),
     "top10_ltv": over_sales(cohorts.top_customers, [*COHORT, "order_id", "customer_rating"]),
     "first10_cohorts": matrix(cohorts.first_cohorts, COHORT),
     # Pricing
-    "price_bins": over_sales(pricing.price_bins, PRICED),
-    "elasticity": over_sales(pricing.elasticity_by_category, PRICED),
-    "price_scenarios": over_sales(pricing.revenue_at_price_points, PRICED),
-    "optimal_pricing": over_sales(pricing.optimal_pricing, PRICED),
-    "pricing_strategies": over_sales(pricing.pricing_strategies, PRICED),
-    "margin_by_tier": over_sales(pricing.margin_by_price_tier, PRICED),
-    "scenarios_head": over_sales(pricing.scenarios_head, PRICED),
+    "price_bins": over_table(pricing.price_bins, PRICED),
+    "elasticity": over_table(pricing.elasticity_by_category, PRICED),
+    "price_scenarios": over_table(pricing.revenue_at_price_points, PRICED),
+    "optimal_pricing": over_table(pricing.optimal_pricing, PRICED),
+    "pricing_strategies": over_table(pricing.pricing_strategies, PRICED),
+    "margin_by_tier": over_table(pricing.margin_by_price_tier, PRICED),
+    "scenarios_head": over_table(pricing.scenarios_head, PRICED),
     # Defects, cleaning, synthetic orders
     "inject_defects": raw_orders,
     "dedup": over_raw(cleaning.remove_duplicates),
@@ -198,13 +212,13 @@ QUERIES: dict[str, Query] = {
         after(cleaning.fix_data_types, cleaning.handle_negative_revenue)
     ),
     "time_features": over_raw(after(cleaning.fix_data_types, cleaning.add_time_features)),
-    "cleaning_metrics": over_raw(cleaning.cleaning_metrics),
+    "cleaning_metrics": over_raw_table(cleaning.cleaning_metrics),
     "validate": over_raw(validated),
     "clean_sales": over_raw(cleaning.clean),
     "synth_orders": synthetic,
     # Findings
-    "insights_table": over_sales(insights.insights_table, **_named_segments),
-    "report_lines": over_sales(
+    "insights_table": over_table(insights.insights_table, **_named_segments),
+    "report_lines": over_table(
         lambda df, **o: insights.report_lines(df, **o).selectExpr(
             "line_no.ord AS part_no", "line_no.head AS heading", "line_no.pos AS pos", "line"
         ),

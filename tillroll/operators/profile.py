@@ -73,7 +73,10 @@ def raw_describe(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
-    """The most frequent values of some columns, ranked within each."""
+    """The most frequent values of some columns, ranked within each.
+
+    Spark cuts every partition to ``n`` rows per column before it brings a column together.
+    """
     columns = columns or ["product_category", "region", "customer_segment"]
     return (
         df.select(*columns)
@@ -106,25 +109,24 @@ def with_share(report: DataFrame, measure: str, name: str, digits: int = 2) -> D
     )
 
 
-def _share(report: DataFrame, key: str, measure: str, name: str) -> DataFrame:
-    shares = with_share(report, measure, name).select(key, measure, name)
-    return shares.orderBy(F.desc(measure), key)
-
-
 def market_share(df: DataFrame) -> DataFrame:
-    return _share(revenue_by_category(df), "product_category", "total_revenue", "market_share_pct")
+    shares = with_share(revenue_by_category(df), "total_revenue", "market_share_pct")
+    return shares.select("product_category", "total_revenue", "market_share_pct")
 
 
 def regional_share(df: DataFrame) -> DataFrame:
-    return _share(revenue_by_region(df), "region", "total_revenue", "regional_share_pct")
+    shares = with_share(revenue_by_region(df), "total_revenue", "regional_share_pct")
+    return shares.select("region", "total_revenue", "regional_share_pct")
 
 
 def segment_value_share(df: DataFrame) -> DataFrame:
-    return _share(revenue_by_segment(df), "customer_segment", "total_revenue", "value_share_pct")
+    shares = with_share(revenue_by_segment(df), "total_revenue", "value_share_pct")
+    return shares.select("customer_segment", "total_revenue", "value_share_pct")
 
 
 def payment_share(df: DataFrame) -> DataFrame:
-    return _share(payment_analysis(df), "payment_method", "total_orders", "order_share_pct")
+    shares = with_share(payment_analysis(df), "total_orders", "order_share_pct")
+    return shares.select("payment_method", "total_orders", "order_share_pct")
 
 
 # Strongest correlations, overall rates, peak months, summary

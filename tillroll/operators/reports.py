@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -311,7 +311,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """
     columns = columns or CORRELATED_COLUMNS
     position = {c: i for i, c in enumerate(columns)}
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations_with_replacement(columns, 2))
     deals = [pairs[i : i + PAIRS_PER_ROW] for i in range(0, len(pairs), PAIRS_PER_ROW)]
     blank = "cast(null as double)"
     rows = []
@@ -326,7 +326,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         .groupBy("deal")
         .agg(*exprs(**{f"r{k}": pearson(f"x{k}", f"y{k}") for k in range(PAIRS_PER_ROW)}))
     )
-    # A handful of rows: name the pairs, mirror them, add the diagonal.
+    # A handful of rows: name the pairs and mirror those off the diagonal.
     cells = ", ".join(f"{k}, r{k}" for k in range(PAIRS_PER_ROW))
     found = dealt.selectExpr("deal", f"stack({PAIRS_PER_ROW}, {cells}) AS (k, r)").selectExpr(
         f"deal * {PAIRS_PER_ROW} + k AS pair_no", f"{rounded('r', 3)} AS r"
@@ -336,13 +336,11 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         f"{lookup('pair_no', [b for _, b in pairs])} AS col_b",
         "r",
     )
-    both_ways = one_way.selectExpr("stack(2, col_a, col_b, r, col_b, col_a, r) AS (col_a, col_b, r)")
-    varies = {c: f"CASE WHEN min({c}) < max({c}) THEN 1D END" for c in columns}
-    diagonal = (
-        delivered(df).agg(*exprs(**varies)).unpivot([], columns, "col_a", "r")
-    ).selectExpr("col_a", "col_a AS col_b", "r")
+    both_ways = one_way.selectExpr(
+        "stack(2, col_a, col_b, r, false, col_b, col_a, r, true) AS (col_a, col_b, r, mirrored)"
+    ).filter("NOT mirrored OR col_a <> col_b")
     place = " ".join(f"WHEN '{c}' THEN {i}" for c, i in position.items())
-    return both_ways.unionByName(diagonal).selectExpr(
+    return both_ways.selectExpr(
         f"CASE col_a {place} END AS ord_a", "col_a", f"CASE col_b {place} END AS ord_b", "col_b", "r"
     )
 
