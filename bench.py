@@ -47,7 +47,9 @@ HEADLINE = {
     "optimal_pricing": pricing.optimal_pricing,
     "margin_by_tier": pricing.margin_by_price_tier,
     "summary_metrics": profile.summary_metrics,
-    "insights_table": lambda df: insights.insights_table(df, HIGH_VALUE, HIGH_VOLUME),
+    "insights_table": lambda df: insights.insights_table(
+        *insights.findings(df, HIGH_VALUE, HIGH_VOLUME)
+    ),
 }
 
 

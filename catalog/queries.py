@@ -217,9 +217,11 @@ QUERIES: dict[str, Query] = {
     "clean_sales": over_raw(cleaning.clean),
     "synth_orders": synthetic,
     # Findings
-    "insights_table": over_table(insights.insights_table, **_named_segments),
+    "insights_table": over_table(
+        lambda df, **o: insights.insights_table(*insights.findings(df, **o)), **_named_segments
+    ),
     "report_lines": over_table(
-        lambda df, **o: insights.report_lines(df, **o).selectExpr(
+        lambda df, **o: insights.report_lines(*insights.findings(df, **o)).selectExpr(
             "line_no.ord AS part_no", "line_no.head AS heading", "line_no.pos AS pos", "line"
         ),
         **_named_segments,

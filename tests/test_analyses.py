@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import numpy as np
@@ -164,6 +165,34 @@ def test_a_hot_customer_changes_nothing(spark, orders):
     assert sorted(r[2] for r in results[0]) == sorted(want.tolist())
 
 
+@pytest.mark.parametrize("parts", [10_000, 5, 1])
+def test_hot_customers_bypass_the_shuffle_join(spark, orders, parts):
+    """All, one or no customers are hot: the rows are the same."""
+    names = [f"c{i % 90}" for i in range(200)] + ["hot"] * 100 + [None] * 30
+    days = [date(2022 + i % 2, 1 + i % 12, 1 + i % 28) for i in range(len(names))]
+    df = orders(*[{"customer_id": c, "order_date": d} for c, d in zip(names, days)])
+    joined = cohorts.cohort_orders(df, parts=parts)
+    pdf = df.toPandas()
+    first = pdf.groupby("customer_id")["order_date"].transform("min")
+    want = {
+        (r.order_id, None if pd.isna(f) else (r.order_date.year - f.year) * 12 + r.order_date.month - f.month)
+        for r, f in zip(pdf.itertuples(), first)
+    }
+    got = [(r["order_id"], r["months_since_cohort"]) for r in joined.collect()]
+    assert len(got) == len(names) and set(got) == want
+
+
+def test_the_salt_is_part_of_the_shuffle(spark, orders):
+    df = orders({"customer_id": "a"}, {"customer_id": "b"})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cohorts.cohort_orders(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"hashpartitioning\(customer_id#\d+, _salt#\d+L", plan)
+
+
 def priced_sample(orders):
     rng = np.random.default_rng(5)
     rows = []

@@ -34,17 +34,6 @@ def few_groups(rows: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -
     return rows.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
-def join_group_frame(
-    rows: DataFrame, frame: DataFrame, keys: Sequence[str], small: bool
-) -> DataFrame:
-    """Join a frame of a few rows per group to the detail rows.
-
-    Broadcast when the number of groups was found small, else a shuffle join, whose
-    oversized partitions adaptive execution splits.
-    """
-    return rows.join(F.broadcast(frame) if small else frame, list(keys))
-
-
 def exact_quantiles(
     rows: DataFrame,
     value: str,
@@ -88,8 +77,9 @@ def exact_quantiles(
         .filter(holds_rank)
         .selectExpr(*by, "_bucket", "_upto - _n AS _before", "_total")
     )
+    # Beyond that bound both sides shuffle, and adaptive execution splits a hot bucket.
     inside = (
-        join_group_frame(points, wanted, [*by, "_bucket"], small)
+        points.join(F.broadcast(wanted) if small else wanted, [*by, "_bucket"])
         .groupBy(*by, "_bucket", "_before", "_total", "_v")
         .agg(*exprs(_n="sum(_n)"))
     )

@@ -54,7 +54,7 @@ def fix_data_types(df: DataFrame) -> DataFrame:
     as_text = dict(df.dtypes)["order_date"] == "string"
     return _replaced(
         df,
-        order_date="try_to_date(trim(order_date), 'yyyy-MM-dd')"
+        order_date="try_to_date(substring_index(trim(order_date), ' ', 1), 'yyyy-M-d')"
         if as_text
         else "cast(order_date as date)",
         quantity=f"try_cast(CASE WHEN {whole} = rint({whole}) THEN {whole} END as int)",
@@ -150,32 +150,39 @@ def deduplicated_and_typed(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """All steps in their fixed order."""
+def clean_typed(typed: DataFrame) -> DataFrame:
+    """The steps after the staged table."""
     return (
-        raw.transform(deduplicated_and_typed)
-        .transform(handle_missing_values)
+        typed.transform(handle_missing_values)
         .transform(handle_negative_revenue)
         .transform(add_time_features)
     )
 
 
+def clean(raw: DataFrame) -> DataFrame:
+    """All steps in their fixed order."""
+    return clean_typed(deduplicated_and_typed(raw))
+
+
 def null_cells(columns: list[str]) -> str:
     """Number of empty cells of a row."""
     return "(" + " + ".join(f"cast(`{c}` IS NULL as int)" for c in columns) + ")"
 
 
-def cleaning_metrics(raw: DataFrame) -> DataFrame:
+def cleaning_metrics(raw: DataFrame, typed: DataFrame | None = None) -> DataFrame:
     """What each cleaning step did, as ``(step_no, step, metric, value)`` rows.
 
+    ``typed`` is the staged table of these raw orders, if there is one already.
+
     A row count of the raw table, and one aggregate over the typed table that carries the
     row both before and after filling.
     """
     columns = list(raw.columns)
-    typed = deduplicated_and_typed(raw).selectExpr("*", f"{null_cells(columns)} AS _before")
+    typed = deduplicated_and_typed(raw) if typed is None else typed
+    counted = typed.selectExpr("*", f"{null_cells(columns)} AS _before")
     kept = " AND ".join(f"{c} IS NOT NULL" for c in CRITICAL_COLUMNS)
     totals = (
-        fill_missing(typed)
+        fill_missing(counted)
         .agg(
             *exprs(
                 distinct_rows="count(1)",

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.joins import HOT_PARTS, salted_left_join
 from tillroll.functions.numeric import (
     cents,
     exprs,
@@ -40,15 +41,20 @@ def first_purchase(df: DataFrame) -> DataFrame:
     )
 
 
-def cohort_orders(df: DataFrame) -> DataFrame:
+def cohort_orders(df: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
     """Every order with its cohort month, its own month and the months between.
 
-    The one row-level join here: customers may be too many to broadcast, so it shuffles
-    by customer and leaves a hot customer's partition to the adaptive skew join.
+    The one row-level join here, with hot customers kept out of its shuffle.
     """
-    return df.join(first_purchase(df), "customer_id", "left").selectExpr(
+    customers = (
+        df.filter("customer_id IS NOT NULL")
+        .groupBy("customer_id")
+        .agg(*exprs(cohort_date="min(order_date)", orders="count(1)"))
+    )
+    joined = salted_left_join(df, customers, "customer_id", "orders", "order_id", parts)
+    return joined.selectExpr(
         *df.columns,
-        "cohort_month",
+        "date_format(cohort_date, 'yyyy-MM') AS cohort_month",
         "date_format(order_date, 'yyyy-MM') AS order_period",
         f"{month_index('order_date')} - {month_index('cohort_date')} AS months_since_cohort",
     )

@@ -27,14 +27,23 @@ PARTS = [
 ]
 
 
-def insights_table(
+def findings(
     df: DataFrame,
     high_value: str = "Premium",
     high_volume: str = "Regular",
     approx: bool = False,
-) -> DataFrame:
-    """``(part, ord, topic, metric, value_num, value_str)`` over all three analyses."""
-    answers = business_answers(df, high_value, high_volume).selectExpr(
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Business answers, cohort insights and pricing advice over one clean table."""
+    return (
+        business_answers(df, high_value, high_volume),
+        cohort_insights(df),
+        optimal_pricing(df, approx),
+    )
+
+
+def insights_table(answers: DataFrame, cohorts: DataFrame, pricing: DataFrame) -> DataFrame:
+    """``(part, ord, topic, metric, value_num, value_str)`` over the three findings."""
+    answers = answers.selectExpr(
         "1 AS part",
         "question_no AS ord",
         "concat('Q', cast(question_no as string)) AS topic",
@@ -42,7 +51,7 @@ def insights_table(
         "value_num",
         "value_str",
     )
-    cohorts = cohort_insights(df).selectExpr(
+    cohorts = cohorts.selectExpr(
         "2 AS part",
         "insight_no AS ord",
         "'cohorts' AS topic",
@@ -50,7 +59,7 @@ def insights_table(
         "value_num",
         "value_str",
     )
-    pricing = optimal_pricing(df, approx).selectExpr(
+    pricing = pricing.selectExpr(
         "3 AS part",
         "category AS topic",
         "stack(5, "
@@ -71,16 +80,11 @@ def _title(key: str) -> str:
     return title_case(f"replace({key}, '_', ' ')")
 
 
-def report_lines(
-    df: DataFrame,
-    high_value: str = "Premium",
-    high_volume: str = "Regular",
-    approx: bool = False,
-) -> DataFrame:
-    """The computed findings as Markdown, ``(line_no, line)``; a few lines per category."""
+def report_lines(answers: DataFrame, cohorts: DataFrame, pricing: DataFrame) -> DataFrame:
+    """The findings as Markdown, ``(line_no, line)``; a few lines per category."""
     question = lookup("question_no - 1", QUESTIONS)
     answers = (
-        display_answers(df, high_value, high_volume)
+        display_answers(answers)
         .groupBy("question_no")
         .agg(*exprs(bullets=f"sort_array(collect_list({_bullet(_title('metric'), 'display')}))"))
         .selectExpr(
@@ -88,7 +92,7 @@ def report_lines(
             f"concat(array(concat('### ', question_no, '. ', {question})), bullets) AS lines",
         )
     )
-    cohorts = cohort_insights(df).selectExpr(
+    cohorts = cohorts.selectExpr(
         "30 + insight_no AS ord", f"array({_bullet(_title('insight'), 'display')}) AS lines"
     )
     facts = [
@@ -99,13 +103,13 @@ def report_lines(
         ("Strategy", "strategy"),
     ]
     bullets = ", ".join(_bullet(f"'{name}'", value) for name, value in facts)
-    pricing = optimal_pricing(df, approx).selectExpr(
+    pricing = pricing.selectExpr(
         "50 AS ord", f"array(concat('### ', category), {bullets}) AS lines"
     )
     titles = [(0, "# Business Insights Report")]
     titles += [(n, f"## Part {i}: {p}") for i, (n, p) in enumerate(zip((10, 30, 49), PARTS), 1)]
     cells = ", ".join(f"{n}, array('{t}')" for n, t in titles)
-    headings = df.sparkSession.range(1).selectExpr(f"stack({len(titles)}, {cells}) AS (ord, lines)")
+    headings = pricing.sparkSession.range(1).selectExpr(f"stack({len(titles)}, {cells}) AS (ord, lines)")
     return (
         headings.unionByName(answers)
         .unionByName(cohorts)

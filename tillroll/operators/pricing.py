@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.joins import salted_left_join
 from tillroll.functions.numeric import (
     cents,
     exprs,
@@ -62,9 +63,15 @@ def _binned(df: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
     edges = exact_quantiles(
         orders, "unit_price", probs, ["product_category"], small=small, approx=approx
     ).select("product_category", "quantiles")
-    kept = F.broadcast(edges) if small else edges
+    if small:
+        edged = orders.join(F.broadcast(edges), "product_category", "left")
+    else:
+        sizes = orders.groupBy("product_category").agg(*exprs(orders="count(1)"))
+        frame = sizes.join(edges, "product_category", "left")
+        spread = "order_id, unit_price"
+        edged = salted_left_join(orders, frame, "product_category", "orders", spread)
     return (
-        orders.join(kept, "product_category", "left")
+        edged
         .selectExpr("*", f"{bin_index('unit_price', 'quantiles')} AS bin")
         .groupBy("product_category", "bin")
         .agg(

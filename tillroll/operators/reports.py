@@ -526,11 +526,9 @@ def business_answers(
     return out
 
 
-def display_answers(
-    df: DataFrame, high_value: str = "Premium", high_volume: str = "Regular"
-) -> DataFrame:
-    """The same values with display text: ``(question_no, metric, display)``."""
-    return business_answers(df, high_value, high_volume).selectExpr(
+def display_answers(answers: DataFrame) -> DataFrame:
+    """Business answers with display text: ``(question_no, metric, display)``."""
+    return answers.selectExpr(
         "question_no",
         "metric",
         "CASE WHEN value_str IS NOT NULL THEN value_str "
@@ -542,7 +540,12 @@ def display_answers(
     )
 
 
-def run_reports(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
+def run_reports(
+    df: DataFrame,
+    high_value: str = "Premium",
+    high_volume: str = "Regular",
+    approx: bool = False,
+) -> dict[str, DataFrame]:
     """Every report over one clean table, by name; nothing runs until a result is used."""
     return {
         "summary_stats": summary_statistics(df, approx),
@@ -556,5 +559,5 @@ def run_reports(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
         "return_rates": return_rate_by_category(df),
         "correlation_matrix": correlation_matrix(df),
         "monthly_trend": monthly_trend(df),
-        "business_answers": business_answers(df),
+        "business_answers": business_answers(df, high_value, high_volume),
     }

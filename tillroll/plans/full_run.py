@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators.charts import run_charts
-from tillroll.operators.cleaning import clean, cleaning_metrics, validate
+from tillroll.operators.cleaning import (
+    clean_typed,
+    cleaning_metrics,
+    deduplicated_and_typed,
+    validate,
+)
 from tillroll.operators.cohorts import run_cohorts
 from tillroll.operators.defects import DefectRates, defect_key, inject_defects, shuffle_rows
 from tillroll.operators.insights import insights_table, report_lines
@@ -36,65 +41,46 @@ def generate_raw(
     return shuffle_rows(raw) if shuffled else raw
 
 
-def clean_to_table(raw: DataFrame, out: str) -> DataFrame:
-    """Write the clean table once and read it back.
-
-    Every analysis after this prunes columns and pushes its status filter into Parquet,
-    and a lost executor costs a re-read instead of the cleaning.
-    """
-    files.write_parquet(clean(raw), f"{out}/clean")
-    return files.read_parquet(raw.sparkSession, f"{out}/clean")
-
-
 def run_analyses(df: DataFrame, options: RunOptions = RunOptions()) -> dict[str, DataFrame]:
-    """Every analysis over a clean table, by name; nothing runs until a result is used."""
+    """Every analysis over a clean table, by name; no result is computed until it is used."""
     approx = options.approx_quantiles
     return {
-        **run_reports(df, approx),
+        **run_reports(df, options.high_value_segment, options.high_volume_segment, approx),
         **run_charts(df),
         **run_cohorts(df),
         **run_pricing(df, approx),
         "summary_metrics": summary_metrics(df),
-        "insights": insights_table(
-            df, options.high_value_segment, options.high_volume_segment, approx
-        ),
     }
 
 
 def full_run(raw: DataFrame, out: str, options: RunOptions = RunOptions()) -> dict[str, str]:
-    """Clean, validate, analyse and write everything below ``out``; name to path."""
-    written = {"clean": f"{out}/clean"}
+    """Clean, validate, analyse and write everything below ``out``; name to path.
 
-    def save(name: str, frame: DataFrame) -> None:
+    The clean table is written before it is analysed: every analysis then prunes columns
+    and pushes its status filter into Parquet, and a lost executor costs a re-read.
+    """
+    spark, written = raw.sparkSession, {}
+
+    def save(name: str, frame: DataFrame) -> DataFrame:
         written[name] = f"{out}/{name}"
         files.write_parquet(frame, written[name])
+        return spark.read.schema(frame.schema).parquet(written[name])
 
-    table = clean_to_table(raw, out)
-    save("cleaning_metrics", cleaning_metrics(raw))
+    typed = deduplicated_and_typed(raw)
+    table = save("clean", clean_typed(typed))
+    save("cleaning_metrics", cleaning_metrics(raw, typed))
     save("validation", validate(table, options.first_date, options.last_date))
-    analyses = run_analyses(table, options)
-    for name, frame in analyses.items():
-        save(name, frame)
+    saved = {name: save(name, frame) for name, frame in run_analyses(table, options).items()}
 
-    # Later outputs start from the small tables already written.
-    spark = raw.sparkSession
+    # The rest starts from the small tables just written.
+    findings = saved["business_answers"], saved["cohort_insights"], saved["optimal_pricing"]
     written["summary_csv"] = f"{out}/summary_csv"
+    metrics = saved["summary_metrics"].orderBy("metric_no")
     files.write_csv(
-        files.read_parquet(spark, written["summary_metrics"])
-        .orderBy("metric_no")
-        .selectExpr("metric AS Metric", "value_str AS Value"),
-        written["summary_csv"],
+        metrics.selectExpr("metric AS Metric", "value_str AS Value"), written["summary_csv"]
     )
     written["insights_json"] = f"{out}/insights_json"
-    files.write_json(files.read_parquet(spark, written["insights"]), written["insights_json"])
+    files.write_json(save("insights", insights_table(*findings)), written["insights_json"])
     written["report"] = f"{out}/report"
-    files.write_text(
-        report_lines(
-            table,
-            options.high_value_segment,
-            options.high_volume_segment,
-            options.approx_quantiles,
-        ),
-        written["report"],
-    )
+    files.write_text(report_lines(*findings), written["report"])
     return written
