@@ -174,10 +174,11 @@ def test_hot_customers_bypass_the_shuffle_join(spark, orders, parts):
     joined = cohorts.cohort_orders(df, parts=parts)
     pdf = df.toPandas()
     first = pdf.groupby("customer_id")["order_date"].transform("min")
-    want = {
-        (r.order_id, None if pd.isna(f) else (r.order_date.year - f.year) * 12 + r.order_date.month - f.month)
-        for r, f in zip(pdf.itertuples(), first)
-    }
+
+    def age(day, start):
+        return None if pd.isna(start) else (day.year - start.year) * 12 + day.month - start.month
+
+    want = {(i, age(d, f)) for i, d, f in zip(pdf["order_id"], pdf["order_date"], first)}
     got = [(r["order_id"], r["months_since_cohort"]) for r in joined.collect()]
     assert len(got) == len(names) and set(got) == want
 

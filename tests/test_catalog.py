@@ -42,6 +42,15 @@ def test_query_equals_its_sql(spark, con, name):
     assert difference(spark, con, SF_DIR, name) is None
 
 
+@pytest.mark.parametrize("name", ["cohort_overview", "summary_stats_date", "monthly_trend"])
+def test_dates_do_not_depend_on_the_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert difference(spark, con, SF_DIR, name) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entry_and_names(spark):
     assert entry(spark).count() == 6
     assert set(oracle_sql()) <= set(queries())

@@ -125,8 +125,12 @@ def describe_dates(df: DataFrame, column: str = "order_date") -> DataFrame:
     days = df.selectExpr(f"'{column}' AS column_name", f"unix_date({column}) AS day")
 
     def moment(day: str) -> str:
-        micros = f"cast(rint(({day}) * 86400000000D) as bigint)"
-        return f"date_format(timestamp_micros({micros}), 'yyyy-MM-dd HH:mm:ss')"
+        # By hand: a timestamp would be shown in the session's time zone.
+        second = f"cast(floor(round(({day}) * 86400D, 6)) as bigint)"
+        date = f"cast(date_add(date'1970-01-01', cast(floor({second} / 86400D) as int)) as string)"
+        clock = [f"pmod({second}, 86400) div 3600", f"pmod({second}, 3600) div 60"]
+        clock += [f"pmod({second}, 60)"]
+        return f"concat({date}, ' ', format_string('%02d:%02d:%02d', {', '.join(clock)}))"
 
     names = [_percentile_name(p) for p in SUMMARY_PERCENTILES]
     cells = [f"{3 + i}, '{name}', {moment(f'quantiles[{i}]')}" for i, name in enumerate(names)]

@@ -22,7 +22,7 @@ TABLES = {
     "l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
     "l_linestatus string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
-    "o_orderdate timestamp, o_orderpriority string",
+    "o_orderdate timestamp_ntz, o_orderpriority string",
     "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
     "part": "p_partkey bigint, p_name string, p_type string",
     "nation": "n_nationkey int, n_regionkey int",
