@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, fingerprints, mixing, urls, warc
+from tillroll.llm import bpe, fingerprints, licences, mixing, topk, urls, warc
 
 RULES = [
     urls.Rule("allow", "com/"),
@@ -39,6 +39,15 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", taken, "source", "rate", "copies")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -59,6 +68,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op7_bpe, op9_url_filter)
+    for f in (
+        op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op4_top_k, op5_licences, op7_bpe,
+        op9_url_filter,
+    )
 }
 ORACLE: dict[str, str] = {}
