@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, fingerprints, licences, mixing, topk, urls, warc
+from tillroll.llm import bpe, fingerprints, langid, licences, mixing, topk, urls, warc
 
 RULES = [
     urls.Rule("allow", "com/"),
@@ -61,6 +61,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from training: crc32 of its id leaves 2 modulo 4."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> langid.Crf | None:
+    """Trained on the labelled documents that are not held out."""
+    return langid.fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
@@ -70,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op4_top_k, op5_licences, op7_bpe,
-        op9_url_filter,
+        op8_language, op9_url_filter,
     )
 }
 ORACLE: dict[str, str] = {}
