@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, fingerprints, langid, licences, mixing, topk, urls, warc
+from tillroll.llm import bpe, fingerprints, langid, licences, mixing, substrings, topk, urls, warc
 
 RULES = [
     urls.Rule("allow", "com/"),
@@ -48,6 +48,13 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -85,7 +92,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op4_top_k, op5_licences, op7_bpe,
+        op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op4_top_k, op5_licences, op6_substrings, op7_bpe,
         op8_language, op9_url_filter,
     )
 }

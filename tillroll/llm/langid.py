@@ -118,6 +118,7 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
     begin, size = first[:-1][order], lengths[order]
     likely = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
     move = np.exp(crf.transitions - crf.transitions.max()).astype(np.float32)
+    ones, tiny = np.ones(likely.shape[1], np.float32), np.float32(1e-30)
     forward = np.empty_like(likely)
     longest = int(size[0]) if len(size) else 0
     # How many texts are longer than each step; those come first in the order.
@@ -127,12 +128,13 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
         n = active[t]
         at = begin[:n] + t
         a = alpha[:n] if t == 0 else alpha[:n] @ move
-        a = a * likely[at] + np.float32(1e-30)
-        a /= a.sum(axis=1, keepdims=True)
+        a = a * likely[at]
+        a += tiny
+        a /= (a @ ones)[:, None]
         alpha = a
         forward[at] = a
+    backward = np.empty_like(likely)
     beta = np.zeros((0, likely.shape[1]), np.float32)
-    out = np.empty_like(likely)
     for t in range(longest - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
@@ -140,10 +142,12 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
         if len(beta):
             k = len(beta)
             b[:k] = (beta * likely[at[:k] + 1]) @ move.T
-            b /= b.sum(axis=1, keepdims=True)
-        p = forward[at] * b + np.float32(1e-30)
-        out[at] = p / p.sum(axis=1, keepdims=True)
+            b[:k] /= (b[:k] @ ones)[:, None]
+        backward[at] = b
         beta = b
+    out = forward * backward
+    out += tiny
+    out /= (out @ ones)[:, None]
     return out
 
 
