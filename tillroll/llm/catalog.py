@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, fingerprints, langid, licences, mixing, substrings, topk, urls, warc
+from tillroll.llm import bpe, fingerprints, langid, licences, mixing, near, substrings, topk, urls, warc
 
 RULES = [
     urls.Rule("allow", "com/"),
@@ -89,11 +89,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op4_top_k, op5_licences, op6_substrings, op7_bpe,
-        op8_language, op9_url_filter,
+        op8_language, op9_url_filter, op10_jaccard_join,
     )
 }
 ORACLE: dict[str, str] = {}
