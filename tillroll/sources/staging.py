@@ -26,5 +26,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     columns they need, and a lost executor costs a re-read.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
