@@ -147,29 +147,32 @@ def _newton(
     return state.select("g", "lam")
 
 
-def balanced_rates(
+def rate_parameters(
     sized: DataFrame, groups: DataFrame, cap: float, tilt: float = 0.5, tolerance: float = 1e-5,
     steps: int = 60,
 ) -> DataFrame:
-    """(g, size, rate) for the (g, size) pairs of ``sized``; ``groups`` has g, total, target."""
+    """``groups`` (g, total, target) with ``full``, ``mean`` and ``lam``: what rates depend on."""
     counted = staged(
         sized.where("size > 0").groupBy("g", "size").agg(F.count(F.lit(1)).alias("docs")), "sizes"
     )
     docs = counted.groupBy("g").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("size")).alias("t"))
-    known = groups.join(docs, "g")
-    known = known.withColumn("mean", F.col("t") / F.col("n"))
-    full = F.col("target") >= F.col("t") * (cap * (1 - 1e-12))
-    open_ = known.where((F.col("target") > 0) & ~full)
-    lam = _newton(counted, open_, cap, tilt, tolerance, steps)
-    solved = known.withColumn("full", full).join(lam, "g", "left")
+    known = groups.join(docs, "g", "left").withColumn("mean", F.col("t") / F.col("n"))
+    full = F.coalesce(F.col("target") >= F.col("t") * (cap * (1 - 1e-12)), F.lit(False))
+    known = known.withColumn("full", full)
+    lam = _newton(counted, known.where("target > 0 and t > 0 and not full"), cap, tilt, tolerance, steps)
+    return known.join(lam, "g", "left").select("g", "total", "target", "full", "mean", "lam")
+
+
+def rate_of(cap: float, tilt: float) -> Column:
+    """The rate of a document of ``size`` by the parameters of its group."""
     z = F.pow(F.col("size") / F.col("mean"), F.lit(float(tilt)))
-    rate = (
-        F.when(F.col("full"), F.lit(float(cap)))
-        .when(F.col("target") <= 0, 0.0)
-        .otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * z, F.lit(700.0)))))
+    tilted = F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * z, F.lit(700.0))))
+    return (
+        F.when(F.col("size") <= 0, 1.0)
+        .when(F.col("full"), float(cap))
+        .when(F.coalesce("target", F.lit(0.0)) <= 0, 0.0)
+        .otherwise(tilted)
     )
-    solved = solved.select("g", "full", "target", "mean", "lam")
-    return counted.join(solved, "g").select("g", "size", rate.alias("rate"))
 
 
 def _prefix_cut(rows: DataFrame, cell: str, room: DataFrame) -> DataFrame:
@@ -209,11 +212,12 @@ def mix_to_targets(
     docs = docs.drop(*[c for c in made if c not in (group, size)])
     names = docs.columns
     key = F.xxhash64(*[F.col(c) for c in names]) if key is None else key
+    # Columns travel under names of their own: none can clash, and unused ones are pruned.
     row = docs.select(
-        F.struct(*names).alias("row"), group_key(F.col(group)).alias("g"),
+        *[F.col(c).alias(f"row_{i}") for i, c in enumerate(names)], group_key(F.col(group)).alias("g"),
         F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"), key.alias("k"),
     )
-    sized = staged(row.select("g", F.col(f"row.{group}").alias("named"), "size", "k"), "documents")
+    sized = staged(row.select("g", F.col(f"row_{names.index(group)}").alias("named"), "size", "k"), "documents")
     totals = sized.groupBy("g").agg(F.sum("size").alias("total"), F.any_value("named").alias("named"))
     if callable(groups):
         totals = staged(totals, "sources")
@@ -222,9 +226,9 @@ def mix_to_targets(
     goal = groups.select(group_key(F.col(group)).alias("g"), F.col("target").cast("double"))
     goal = totals.join(goal, "g", "left")
     goal = staged(goal.withColumn("target", F.coalesce("target", F.lit(0.0))), "targets")
-    rates = staged(balanced_rates(sized, goal, cap, tilt), "rates")
+    known = staged(rate_parameters(sized, goal, cap, tilt), "rates")
 
-    rate = F.coalesce("rate", F.lit(1.0))
+    rate = F.col("rate")
     whole = F.floor(rate + 1e-9)
     part = rate - whole
     uniform = F.pmod(F.xxhash64(F.lit(17), "k"), F.lit(1 << 52)) / float(1 << 52)
@@ -234,15 +238,14 @@ def mix_to_targets(
     def placed(frame: DataFrame) -> DataFrame:
         """Rates, their whole parts, and the cells in which the rest is rounded."""
         return (
-            frame.join(rates, ["g", "size"], "left")
-            .withColumn("rate", rate)
+            frame.withColumn("rate", rate_of(cap, tilt))
             .withColumn("whole", whole.cast("bigint"))
             .withColumn("order", order)
             .withColumn("cell", F.floor(place * GRID).cast("bigint"))
             .withColumn("fine", F.floor(place * GRID * GRID).cast("bigint"))
         )
 
-    light = placed(sized.drop("named").where("size > 0"))
+    light = placed(sized.drop("named").where("size > 0").join(known, "g"))
     base = light.groupBy("g").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
     room = goal.join(base, "g")
     room = room.select("g", F.floor(F.col("target") - F.col("base") + 1e-6).alias("room"))
@@ -260,25 +263,26 @@ def mix_to_targets(
 
     def taken(frame: DataFrame) -> DataFrame:
         """Column ``up``: the document rounds up."""
-        out = frame.join(both, "g", "left")
         below = (
             F.col("cut").isNull()
             | (F.col("cell") < F.col("cut"))
             | ((F.col("cell") == F.col("cut")) & (F.col("fine_cut").isNull() | (F.col("fine") < F.col("fine_cut"))))
         )
-        known = F.col("order").isNotNull() & F.col("left_over").isNotNull()
-        return out.withColumn("up", F.when(known & below, 1).otherwise(0))
+        rounds = F.col("order").isNotNull() & F.col("left_over").isNotNull()
+        return frame.withColumn("up", F.when(rounds & below, 1).otherwise(0))
 
     gap = F.abs(F.col("size") - F.col("left_over"))
-    spare = taken(choice).where((F.col("up") == 0) & (F.col("size") < 2 * F.col("left_over")))
-    last = staged(spare.groupBy("g").agg(F.min(F.struct(gap.alias("gap"), "size", "k")).alias("last")), "last")
+    spare = taken(choice.join(both, "g", "left")).where((F.col("up") == 0) & (F.col("size") < 2 * F.col("left_over")))
+    last = spare.groupBy("g").agg(F.min(F.struct(gap.alias("gap"), "size", "k")).alias("last"))
     last = last.select("g", F.col("last.k").alias("k_last"), F.col("last.size").alias("size_last"))
+    # All that a document's copies depend on besides its size and key: one row per group.
+    rules = staged(known.join(both, "g", "left").join(last, "g", "left"), "rules")
 
-    chosen = taken(placed(row)).join(last, "g", "left").join(goal, "g", "left")
+    chosen = taken(placed(row.join(rules, "g", "left")))
     fills = (F.col("k") == F.col("k_last")) & (F.col("size") == F.col("size_last")) & F.col("order").isNotNull()
     up = F.greatest(F.col("up"), F.when(fills, 1).otherwise(0))
     return chosen.select(
-        "row.*",
+        *[F.col(f"row_{i}").alias(c) for i, c in enumerate(names)],
         F.col("total").alias("source_size"),
         "target",
         "rate",
