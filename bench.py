@@ -54,7 +54,9 @@ HEADLINE = {
 
 
 def main() -> None:
-    spark = local_session("bench", CPUS, int(CPUS) if CPUS.isdigit() else 8)
+    spark = local_session(
+        "bench", CPUS, int(CPUS) if CPUS.isdigit() else 8, os.environ.get("BENCH_DRIVER_MEMORY", "8g")
+    )
     spark.sparkContext.setLogLevel("ERROR")
     folder = tempfile.mkdtemp(prefix="run-")
     seconds: dict[str, float] = {}

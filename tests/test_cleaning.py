@@ -147,3 +147,16 @@ def test_profile_of_raw_rows(raw):
         {"column_name": "region", "nulls": 4, "pct": 100.0},
         {"column_name": "shipping_type", "nulls": 1, "pct": 25.0},
     ]
+
+
+def test_numbers_and_labels_read_as_strictly_as_pandas(spark):
+    from tillroll.operators.cleaning import fix_data_types, standardize_categories
+
+    cells = ["12", " 12.5 ", "12d", "12f", "inf", "-Infinity", "nan", "1e3", ".5", "x"]
+    columns = ["order_date", "quantity", "unit_price", "discount_pct", "revenue", "cost", "profit", "customer_rating"]
+    rows = [("2022-01-05", "1", *[c] * 6) for c in cells]
+    read = fix_data_types(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))).collect()
+    assert [r["revenue"] for r in read] == [12.0, 12.5, None, None, None, None, None, 1000.0, 0.5, None]
+    odd = [("West ",), ("　west",), ("west\x1f",), ("WEST",)]
+    labels = standardize_categories(spark.createDataFrame(odd, "region string")).collect()
+    assert {r["region"] for r in labels} == {"West"}

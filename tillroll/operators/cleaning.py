@@ -16,7 +16,12 @@ from tillroll.sources.staging import staged
 # Label spellings that title case leaves apart.
 CATEGORY_SPELLINGS = {"Home & garden": "Home & Garden"}
 
-WHITESPACE = " \t\n\r\f\v"
+# All that Python's str.strip() takes off.
+WHITESPACE = (
+    " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+NUMBER = r"^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 
 CRITICAL_COLUMNS = ["order_date", "order_id", "revenue"]
 CHECKED_COLUMNS = ["order_date", "revenue", "product_category", "region"]
@@ -44,21 +49,24 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _number(c: str) -> str:
-    return f"nullif(try_cast({c} as double), double('NaN'))"
+def _number(c: str, text: bool = False) -> str:
+    """A finite double or null: no type suffixes, and infinities count as missing."""
+    value = f"CASE WHEN {c} RLIKE '{NUMBER}' THEN try_cast({c} as double) END" if text else c
+    return f"nullif(nullif(nullif(try_cast({value} as double), double('NaN')), double('Infinity')), double('-Infinity'))"
 
 
 def fix_data_types(df: DataFrame) -> DataFrame:
     """Dates and numbers; a cell that cannot be read becomes null."""
-    whole = _number("quantity")
-    as_text = dict(df.dtypes)["order_date"] == "string"
+    kinds = dict(df.dtypes)
+    whole = _number("quantity", kinds["quantity"] == "string")
+    as_text = kinds["order_date"] == "string"
     return _replaced(
         df,
         order_date="try_to_date(substring_index(trim(order_date), ' ', 1), 'yyyy-M-d')"
         if as_text
         else "cast(order_date as date)",
         quantity=f"try_cast(CASE WHEN {whole} = rint({whole}) THEN {whole} END as int)",
-        **{c: _number(c) for c in AMOUNT_COLUMNS},
+        **{c: _number(c, kinds[c] == "string") for c in AMOUNT_COLUMNS},
     )
 
 

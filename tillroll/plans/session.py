@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution joins, splits and coalesces by the sizes it sees at run time.
@@ -16,14 +14,16 @@ SETTINGS = {
 }
 
 
-def local_session(name: str = "tillroll", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    name: str = "tillroll", cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g"
+) -> SparkSession:
     """A one-machine session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", memory)
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
