@@ -7,6 +7,8 @@ derivative can be traced without the archive it came from.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,14 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it.
+
+    Generators evaluate their argument without sharing common parts.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_entities(text: Column) -> Column:
     """Named references of the list, and numeric ones up to the last code point, ``&amp;`` last."""
     out = text
@@ -66,17 +76,17 @@ def decode_entities(text: Column) -> Column:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
 
     def numeric(column: Column, mark: str, digits: str, base: int) -> Column:
-        pieces = F.split(column, f"&#{mark}(?={digits};)")
-
         def one(piece: Column) -> Column:
             number = F.conv(F.regexp_extract(piece, f"^({digits});", 1), base, 10).cast("bigint")
             valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
             code = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
             return F.concat(code, F.regexp_replace(piece, f"^{digits};", ""))
 
-        rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
-        decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
-        return F.when(F.size(pieces) > 1, decoded).otherwise(column)
+        def joined(pieces: Column) -> Column:
+            rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+            return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+        return _once(F.split(column, f"&#{mark}(?={digits};)"), joined)
 
     out = numeric(out, "", "[0-9]{1,7}", 10)
     out = numeric(out, "[xX]", "[0-9a-fA-F]{1,6}", 16)
@@ -93,7 +103,11 @@ def _without(html: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of a page, one line per block element, blanks folded, empty lines dropped."""
-    text = F.regexp_replace(_without(html), r"[ \t\r\n]+", " ")
+    return _text_of(_without(html))
+
+
+def _text_of(clean: Column) -> Column:
+    text = F.regexp_replace(clean, r"[ \t\r\n]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BREAKS})(\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[!/?a-zA-Z][^>]*>", "")
     text = decode_entities(text)
@@ -101,22 +115,25 @@ def plain_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"  +", " "), r"^[ \n]+|[ \n]+\z", "")
 
 
-def _fields(html: Column) -> Column:
-    """The warc-fields of a metadata record: title, language, then every link in order."""
-    clean = _without(html)
+def _fields(clean: Column) -> Column:
+    """The warc-fields of a metadata record: title, language, then every link in order.
+
+    ``clean`` is the page after :func:`_without`.
+    """
     folded = F.regexp_replace(F.regexp_extract(clean, r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\r\n]+", " ")
     title = F.trim(decode_entities(folded))
     language = F.regexp_extract(clean, r"(?is)<html[^>]*\slang=[\"']?([a-zA-Z-]+)", 1)
     links = F.regexp_extract_all(clean, F.lit(r"(?is)<a\s[^>]*?href=[\"']([^\"'\r\n]*)[\"']"), F.lit(1))
-    lines = F.concat(
-        F.array(
+
+    def lines(found: Column) -> Column:
+        first = F.array(
             F.concat(F.lit("title: "), title),
             F.concat(F.lit("language: "), language),
-            F.concat(F.lit("outlinks: "), F.size(links).cast("string")),
-        ),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), decode_entities(x))),
-    )
-    return F.array_join(lines, CRLF)
+            F.concat(F.lit("outlinks: "), F.size(found).cast("string")),
+        )
+        return F.concat(first, F.transform(found, lambda x: F.concat(F.lit("outlink: "), decode_entities(x))))
+
+    return F.array_join(_once(links, lines), CRLF)
 
 
 def derive(response: DataFrame) -> DataFrame:
@@ -126,16 +143,20 @@ def derive(response: DataFrame) -> DataFrame:
     digests of the source go along.  An empty payload gives a conversion record with an empty
     block.  ``header`` is the record's header as text, lines of null fields left out.
     """
-    made = F.array(
-        F.struct(
-            F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"),
-            _fields(F.col("payload")).alias("block"),
-        ),
-        F.struct(
-            F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"),
-            plain_text(F.col("payload")).alias("block"),
-        ),
-    )
+
+    def records(clean: Column) -> Column:
+        return F.array(
+            F.struct(
+                F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"),
+                _fields(clean).alias("block"),
+            ),
+            F.struct(
+                F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"),
+                _text_of(clean).alias("block"),
+            ),
+        )
+
+    made = _once(_without(F.col("payload")), records)
     rows = response.select("*", F.explode(made).alias("made")).select(
         "source_key",
         F.col("made.warc_type").alias("warc_type"),
