@@ -176,7 +176,8 @@ def fit(
     sample = known.withColumn("_place", F.row_number().over(place)).where(
         F.col("_place") <= sample_rows // 2
     )
-    rows = lexical(sample.drop("_place")).cache()
+    # A bounded table, read back in few partitions: the trees pass over it a hundred times.
+    rows = staged(lexical(sample.drop("_place")), "url-sample")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("bad")).first()
     n, bad = counts["n"], counts["bad"] or 0
     overall = bad / n if n else 0.0
@@ -184,11 +185,11 @@ def fit(
     model = None
     if 0 < bad < n:
         data = _vectors(rows, shares, overall).select("_vector", F.col("_label").cast("double"))
+        data = staged(data, "url-vectors")
         model = GBTClassifier(
             featuresCol="_vector", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.2,
             subsamplingRate=1.0, seed=7, maxBins=32,
         ).fit(data)
-    rows.unpersist()
     return UrlModel(model, shares, overall)
 
 
