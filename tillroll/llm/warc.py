@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 # Named character references that are decoded; numeric ones are decoded by code point.
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
     "reg": "®", "middot": "·", "mdash": "—", "ndash": "–", "hellip": "…",
     "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’",
     "ldquo": "“", "rdquo": "”", "euro": "€", "bull": "•",
@@ -70,35 +70,36 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named references of the list, and numeric ones up to the last code point, ``&amp;`` last."""
-    out = text
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    """Named references of the list, and numeric ones up to the last code point, in one pass."""
+    named = "|".join(ENTITIES)
+    reference = f"#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{named}"
 
-    def numeric(column: Column, mark: str, digits: str, base: int) -> Column:
-        def one(piece: Column) -> Column:
-            number = F.conv(F.regexp_extract(piece, f"^({digits});", 1), base, 10).cast("bigint")
-            valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-            code = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-            return F.concat(code, F.regexp_replace(piece, f"^{digits};", ""))
+    def character(name: Column) -> Column:
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        number = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        number = number.cast("bigint")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        code = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        out = F.when(F.startswith(name, F.lit("#")), code)
+        for entity, value in ENTITIES.items():
+            out = out.when(name == entity, value)
+        return out
 
-        def joined(pieces: Column) -> Column:
-            rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
-            return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+    def one(piece: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        return F.concat(_once(name, character), F.substr(piece, F.length(name) + 2))
 
-        return _once(F.split(column, f"&#{mark}(?={digits};)"), joined)
+    def joined(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
 
-    out = numeric(out, "", "[0-9]{1,7}", 10)
-    out = numeric(out, "[xX]", "[0-9a-fA-F]{1,6}", 16)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return _once(F.split(text, f"&(?=(?:{reference});)"), joined)
 
 
 def _without(html: Column) -> Column:
     """Comments and elements whose content is not text, also unclosed ones, taken out."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", " ")
-    for name in DROPPED.split("|"):
-        out = F.regexp_replace(out, rf"(?is)<{name}(\s[^>]*)?>.*?(</{name}\s*>|\z)", " ")
-    return out
+    element = rf"({DROPPED})(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)"
+    return F.regexp_replace(html, rf"(?is)<(?:!--.*?(?:-->|\z)|{element})", " ")
 
 
 def plain_text(html: Column) -> Column:
@@ -107,12 +108,12 @@ def plain_text(html: Column) -> Column:
 
 
 def _text_of(clean: Column) -> Column:
-    text = F.regexp_replace(clean, r"[ \t\r\n]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?({BREAKS})(\s[^>]*)?/?>", "\n")
+    text = F.regexp_replace(clean, r"(?: ?[\t\r\n]|  )[ \t\r\n]*", " ")  # single blanks stay as they are
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[!/?a-zA-Z][^>]*>", "")
     text = decode_entities(text)
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(text, r"  +", " "), r"^[ \n]+|[ \n]+\z", "")
+    return F.btrim(F.regexp_replace(text, r"  +", " "), F.lit(" \n"))
 
 
 def _fields(clean: Column) -> Column:
