@@ -108,7 +108,7 @@ def plain_text(html: Column) -> Column:
 
 
 def _text_of(clean: Column) -> Column:
-    text = F.regexp_replace(clean, r"(?: ?[\t\r\n]|  )[ \t\r\n]*", " ")  # single blanks stay as they are
+    text = F.regexp_replace(clean, r"[\t\r\n]+", " ")  # runs of blanks are folded last
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[!/?a-zA-Z][^>]*>", "")
     text = decode_entities(text)
