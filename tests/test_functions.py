@@ -138,3 +138,20 @@ def test_bins_drop_repeated_edges(spark, values, expected):
 def test_few_groups_counts_up_to_its_limit(spark):
     df = spark.range(20).selectExpr("id % 6 AS k")
     assert few_groups(df, ["k"], limit=6) and not few_groups(df, ["k"], limit=5)
+
+
+def test_amounts_keep_digits_below_a_cent(spark):
+    df = spark.range(1000).selectExpr("10.004D AS a", "0.004D AS b")
+    for n in (1, 7):
+        part = df.repartition(n)
+        assert one(part, money_sum("a")) == 10004.0
+        assert one(part, money_sum("b")) == 4.0
+
+
+def test_odd_amounts_do_not_stop_a_sum(spark):
+    cells = "explode(array(double('Infinity'), double('-Infinity'), double('NaN'), 1e300D, 1.5D)) AS x"
+    df = spark.range(1).selectExpr(cells)
+    assert one(df, money_sum("x")) == 1.5
+    large = spark.range(200).selectExpr("1e18D AS x")
+    assert one(large, money_sum("x")) == 2e20
+    assert one(large, fine_avg("x")) == 1e18

@@ -1,9 +1,9 @@
 """Numeric rules shared by every report, as Spark SQL expressions.
 
-Sums run over whole numbers (cents, or units plus millionths), so a total is the
-same however the rows are spread over partitions and in whatever order they are
-merged.  Long addition also stays inside generated code, which wide decimal sums
-do not.
+Amounts are added as decimals with nine digits behind the point, other measures as
+whole units plus millionths, so a total is the same however the rows are spread over
+partitions and in whatever order they are merged.  What does not fit the decimal (1e19
+and beyond, infinities, NaN) is left out of sums; cleaning empties such cells before.
 
 Each function takes SQL expressions and returns one; ``exprs`` names them.
 """
@@ -24,34 +24,36 @@ def rounded(x: str, digits: int = 2) -> str:
     return f"(rint(({x}) * {10**digits}D) / {10**digits}D + 0D)"
 
 
-def cents(x: str) -> str:
-    return f"cast(rint(({x}) * 100D) as bigint)"
+def exact(x: str) -> str:
+    """An amount as a decimal; null where it does not fit."""
+    return f"try_cast({x} as decimal(28, 9))"
 
 
 def money_sum(x: str) -> str:
-    """Exact total of an amount in whole cents; 0.0 when nothing was there to add."""
-    return f"(coalesce(sum({cents(x)}), 0) / 100D)"
+    """Exact total of an amount; 0.0 when nothing was there to add."""
+    return f"coalesce(cast(sum({exact(x)}) as double), 0D)"
 
 
 def money_avg(x: str) -> str:
-    return f"try_divide(sum({cents(x)}) / 100D, count({x}))"
+    return f"try_divide(cast(sum({exact(x)}) as double), count({exact(x)}))"
 
 
 def fine_sum(x: str) -> str:
     """Total of a measure kept to six decimals: whole units and millionths apart.
 
-    Both parts are long sums, good for about nine trillion rows.
+    The units are a sum of doubles, exact up to 9e15; the millionths one of longs, good for
+    about nine trillion rows.
     """
-    return f"(cast({whole_sum(x)} as double) + {micro_sum(x)} / 1000000D)"
+    return f"({whole_sum(x)} + {micro_sum(x)} / 1000000D)"
 
 
 def whole_sum(x: str) -> str:
-    return f"sum(cast(floor(cast({x} as double)) as bigint))"
+    return f"sum(cast(floor(cast({x} as double)) as double))"
 
 
 def micro_sum(x: str) -> str:
     v = f"cast({x} as double)"
-    return f"sum(cast(rint(({v} - floor({v})) * 1000000D) as bigint))"
+    return f"sum(CASE WHEN abs({v}) < 1e15 THEN cast(rint(({v} - floor({v})) * 1000000D) as bigint) ELSE 0 END)"
 
 
 def fine_avg(x: str) -> str:

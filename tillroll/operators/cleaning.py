@@ -50,9 +50,12 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 
 
 def _number(c: str, text: bool = False) -> str:
-    """A finite double or null: no type suffixes, and infinities count as missing."""
+    """A double or null: no type suffixes; infinities and values from 1e15 on count as missing.
+
+    From there on a double holds no cents.
+    """
     value = f"CASE WHEN {c} RLIKE '{NUMBER}' THEN try_cast({c} as double) END" if text else c
-    return f"nullif(nullif(nullif(try_cast({value} as double), double('NaN')), double('Infinity')), double('-Infinity'))"
+    return f"CASE WHEN abs(try_cast({value} as double)) < 1e15 THEN try_cast({value} as double) END"
 
 
 def fix_data_types(df: DataFrame) -> DataFrame:

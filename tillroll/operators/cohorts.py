@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.joins import HOT_PARTS, salted_left_join
 from tillroll.functions.numeric import (
-    cents,
+    exact,
     exprs,
     fine_avg,
     money_avg,
@@ -69,10 +69,10 @@ def cohort_cells(df: DataFrame) -> DataFrame:
             "customer_id",
             f"{month_index('order_date')} AS month",
             f"{done} AS done",
-            f"CASE WHEN {done} THEN {cents('revenue')} END AS cents",
+            f"CASE WHEN {done} THEN {exact('revenue')} END AS amount",
         )
         .groupBy("customer_id", "month")
-        .agg(*exprs(done="count_if(done)", cents="coalesce(sum(cents), 0)", priced="count(cents)"))
+        .agg(*exprs(done="count_if(done)", amount="coalesce(sum(amount), 0)", priced="count(amount)"))
     )
     return (
         active.selectExpr("*", "min(month) OVER (PARTITION BY customer_id) AS cohort")
@@ -82,7 +82,7 @@ def cohort_cells(df: DataFrame) -> DataFrame:
             *exprs(
                 unique_customers="count(1)",
                 delivered_orders="sum(done)",
-                delivered_cents="sum(cents)",
+                delivered_amount="sum(amount)",
                 priced_orders="sum(priced)",
             )
         )
@@ -91,7 +91,7 @@ def cohort_cells(df: DataFrame) -> DataFrame:
             "months_since_cohort",
             "unique_customers",
             "delivered_orders",
-            "delivered_cents",
+            "delivered_amount",
             "priced_orders",
         )
     )
@@ -140,7 +140,7 @@ def retention_table_absolute(df: DataFrame, ages: Sequence[int] | None = None) -
 
 def cohort_revenue_long(df: DataFrame) -> DataFrame:
     """Delivered revenue (whole units) and order value per cohort and age."""
-    revenue = "delivered_cents / 100D"
+    revenue = "cast(delivered_amount as double)"
     return (
         cohort_cells(df)
         .filter("delivered_orders > 0")
@@ -203,7 +203,7 @@ def clv_by_segment(df: DataFrame) -> DataFrame:
         .groupBy("customer_segment", "customer_id")
         .agg(
             *exprs(
-                cents=f"sum({cents('revenue')})",
+                amount=f"sum({exact('revenue')})",
                 priced="count(revenue)",
                 orders="count(order_id)",
                 rating="sum(cast(rint(customer_rating * 1000000D) as bigint))",
@@ -217,7 +217,7 @@ def clv_by_segment(df: DataFrame) -> DataFrame:
         .distinct()
         .agg(*exprs(n="count(1)"))
     )
-    revenue = "(coalesce(sum(cents), 0) / 100D)"
+    revenue = "coalesce(cast(sum(amount) as double), 0D)"
     return (
         per_customer.filter("customer_segment IS NOT NULL")
         .groupBy("customer_segment")
@@ -254,7 +254,7 @@ def cohort_insights(df: DataFrame) -> DataFrame:
         .groupBy("cohort_month")
         .agg(
             *exprs(
-                revenue=f"sum({rounded('delivered_cents / 100D', 0)})",
+                revenue=f"sum({rounded('cast(delivered_amount as double)', 0)})",
                 delivered="sum(delivered_orders)",
                 rate_0=f"max(CASE WHEN months_since_cohort = 0 THEN {rate} END)",
                 rate_1=f"max(CASE WHEN months_since_cohort = 1 THEN {rate} END)",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.joins import salted_left_join
 from tillroll.functions.numeric import (
-    cents,
+    exact,
     exprs,
     fine_sum,
     int_sum,
@@ -86,9 +86,9 @@ def _binned(df: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
                 counted="count(quantity)",
                 quantity=int_sum("quantity"),
                 earning="count(revenue)",
-                revenue_cents=f"coalesce(sum({cents('revenue')}), 0)",
+                revenue=f"coalesce(sum({exact('revenue')}), 0)",
                 profiting="count(profit)",
-                profit_cents=f"coalesce(sum({cents('profit')}), 0)",
+                profit=f"coalesce(sum({exact('profit')}), 0)",
                 discounted="count(discount_pct)",
                 discount=fine_sum("discount_pct"),
             )
@@ -99,7 +99,7 @@ def _binned(df: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
     )
 
 
-_MEAN_PRICE = "try_divide(cast(price_whole as double) + price_micro / 1000000D, priced)"
+_MEAN_PRICE = "try_divide(price_whole + price_micro / 1000000D, priced)"
 _MEAN_QUANTITY = "try_divide(cast(quantity as double), counted)"
 
 
@@ -142,7 +142,7 @@ def _categories(df: DataFrame, approx: bool) -> DataFrame:
                 priced="sum(priced)",
                 counted="sum(counted)",
                 quantity="sum(quantity)",
-                revenue="sum(revenue_cents) / 100D",
+                revenue="cast(sum(revenue) as double)",
                 min_price="min(min_price)",
                 max_price="max(max_price)",
                 points="count(x)",
@@ -257,7 +257,7 @@ def pricing_strategies(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def margin_by_price_tier(df: DataFrame, approx: bool = False) -> DataFrame:
     """Price, revenue, profit and margin of every category's price thirds."""
-    revenue, profit = "revenue_cents / 100D", "profit_cents / 100D"
+    revenue, profit = "cast(revenue as double)", "cast(profit as double)"
     return (
         _binned(df, THIRDS, approx)
         .filter("bin IS NOT NULL")
@@ -268,7 +268,7 @@ def margin_by_price_tier(df: DataFrame, approx: bool = False) -> DataFrame:
             f"{_MEAN_PRICE} AS avg_price",
             f"try_divide({revenue}, earning) AS avg_revenue",
             f"try_divide({profit}, profiting) AS avg_profit",
-            f"CASE WHEN revenue_cents > 0 THEN ({profit}) / ({revenue}) * 100 ELSE 0D END"
+            f"CASE WHEN revenue > 0 THEN ({profit}) / ({revenue}) * 100 ELSE 0D END"
             " AS profit_margin_pct",
             "orders AS order_count",
             "try_divide(discount, discounted) AS avg_discount",
