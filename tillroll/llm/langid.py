@@ -24,7 +24,8 @@ BUCKETS = 1 << 16
 KINDS = 4  # trigram, start, end, word
 DOCS_PER_LANGUAGE = 200
 LONGEST_SAMPLE = 20_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+PIECE_BYTES = 256 << 10
 UNDETERMINED = "und"
 
 
@@ -112,11 +113,17 @@ def emissions(words: Letters, weights: np.ndarray) -> np.ndarray:
 
 
 def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
-    """Forward-backward over all texts at once, step by step along the words."""
+    """Forward-backward over all texts at once, step by step along the words.
+
+    ``scores`` are overwritten: two arrays of their size are all that is held.
+    """
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     begin, size = first[:-1][order], lengths[order]
-    likely = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+    likely = scores
+    if len(scores):
+        likely -= scores.max(axis=1, keepdims=True)
+        np.exp(likely, out=likely)
     move = np.exp(crf.transitions - crf.transitions.max()).astype(np.float32)
     ones, tiny = np.ones(likely.shape[1], np.float32), np.float32(1e-30)
     forward = np.empty_like(likely)
@@ -133,7 +140,6 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
         a /= (a @ ones)[:, None]
         alpha = a
         forward[at] = a
-    backward = np.empty_like(likely)
     beta = np.zeros((0, likely.shape[1]), np.float32)
     for t in range(longest - 1, -1, -1):
         n = active[t]
@@ -143,9 +149,9 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
             k = len(beta)
             b[:k] = (beta * likely[at[:k] + 1]) @ move.T
             b[:k] /= (b[:k] @ ones)[:, None]
-        backward[at] = b
+        forward[at] *= b
         beta = b
-    out = forward * backward
+    out = forward
     out += tiny
     out /= (out @ ones)[:, None]
     return out
@@ -295,19 +301,21 @@ def _identified(part: pa.RecordBatch, texts: pa.Array, flags: pa.Array, crf: Crf
     runs: list[list[dict]] = [[] for _ in range(rows)]
     if crf is not None:
         found, firsts, total = [], [np.zeros(1, np.int64)], 0
-        for a, b in pieces(texts):
+        for a, b in pieces(texts, PIECE_BYTES):
             words = letter_words(texts.slice(a, b - a))
             found.append(emissions(words, crf.weights))
             firsts.append(words.first[1:] + total)
             total += len(words.start)
         first = np.concatenate(firsts)
-        post = posteriors(np.concatenate(found), first, crf) if found else np.zeros((0, len(crf.labels)))
+        every = np.concatenate(found) if found else np.zeros((0, len(crf.labels)), np.float32)
+        found.clear()
+        post = posteriors(every, first, crf)
         count = np.diff(first)
         some = np.flatnonzero((count > 0) & flags.to_numpy(zero_copy_only=False))
         if len(some):
-            sums = np.zeros((len(post) + 1, post.shape[1]))
-            np.cumsum(post, axis=0, out=sums[1:])
-            mean = (sums[first[some + 1]] - sums[first[some]]) / count[some][:, None]
+            sums = np.zeros((rows, post.shape[1]))
+            sums[count > 0] = np.add.reduceat(post, first[:-1][count > 0], axis=0, dtype=np.float64)
+            mean = sums[some] / count[some][:, None]
             best = mean.argmax(axis=1)
             scores[some] = np.clip(mean[np.arange(len(some)), best], 0.0, 1.0)
             for i, k in zip(some, best):
