@@ -40,6 +40,32 @@ def test_types_are_coerced_and_bad_cells_emptied(raw):
     assert {r["order_date"] for r in (got[0], got[4], got[5])} == {date(2022, 1, 5)}
 
 
+def test_date_forms(raw):
+    day = date(2022, 1, 5)
+    forms = {
+        "2022-01-05": day,
+        "2022-1-5": day,
+        "2022/01/05": day,
+        "20220105": day,
+        " 2022-01-05\t": day,
+        "2022-01-05 23:59": day,
+        "2022-01-05T07:08:09": day,
+        "2022-01-05T07:08:09.123": day,
+        "2022-01-05 garbage": None,
+        "2022-01-05x": None,
+        "2022-01/05": None,
+        "2022-01-05 25:00": None,
+        "2022-02-30": None,
+        "2022-13-01": None,
+        "202215": None,
+        "": None,
+        None: None,
+    }
+    df = c.fix_data_types(raw(*[{"order_date": t} for t in forms]))
+    got = {r["order_id"]: r["order_date"] for r in rows_of(df)}
+    assert [got[f"ORD-{i}"] for i in range(len(forms))] == list(forms.values())
+
+
 def test_labels_are_trimmed_title_cased_and_nan_emptied(raw):
     df = raw(
         {"region": " sOUTH\t", "product_category": "home & garden", "shipping_type": "same-day"},

@@ -22,6 +22,12 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 NUMBER = r"^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$"
+# A day, alone or with a time of day; anything behind it makes the cell unreadable.
+DATE = (
+    "^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{8})"
+    "([ T]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]{1,9})?)?)?$"
+)
+DAY = "^([0-9]{4})[-/]?([0-9]{1,2})[-/]?([0-9]{1,2})$"
 
 CRITICAL_COLUMNS = ["order_date", "order_id", "revenue"]
 CHECKED_COLUMNS = ["order_date", "revenue", "product_category", "region"]
@@ -58,6 +64,15 @@ def _number(c: str, text: bool = False) -> str:
     return f"CASE WHEN abs(try_cast({value} as double)) < 1e15 THEN try_cast({value} as double) END"
 
 
+def _date(c: str) -> str:
+    """The day of a text: year, month and day with dashes, slashes or no mark between them.
+
+    A time of day behind a blank or ``T`` is left off; days that no calendar has are null.
+    """
+    day = f"regexp_extract(trim(BOTH {quoted(WHITESPACE)} FROM {c}), '{DATE}', 1)"
+    return f"try_to_date(regexp_replace({day}, '{DAY}', '$1-$2-$3'), 'yyyy-M-d')"
+
+
 def fix_data_types(df: DataFrame) -> DataFrame:
     """Dates and numbers; a cell that cannot be read becomes null."""
     kinds = dict(df.dtypes)
@@ -65,9 +80,7 @@ def fix_data_types(df: DataFrame) -> DataFrame:
     as_text = kinds["order_date"] == "string"
     return _replaced(
         df,
-        order_date="try_to_date(substring_index(trim(order_date), ' ', 1), 'yyyy-M-d')"
-        if as_text
-        else "cast(order_date as date)",
+        order_date=_date("order_date") if as_text else "cast(order_date as date)",
         quantity=f"try_cast(CASE WHEN {whole} = rint({whole}) THEN {whole} END as int)",
         **{c: _number(c, kinds[c] == "string") for c in AMOUNT_COLUMNS},
     )
