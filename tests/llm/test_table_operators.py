@@ -99,6 +99,29 @@ def test_url_trees_learn_held_out_rules(spark):
     assert sum((r["block_score"] > 0.5) == bool(r["label"]) for r in out) >= 0.8 * len(out)
 
 
+def test_url_shares_count_all_labelled_urls(spark):
+    rows = [(f"http://h{i}.s{i}.t{i % 3}/a/{j}", int(i % 4 == 0)) for i in range(60) for j in range(3)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, label int"), sample_rows=40, trees=2)
+    assert model.overall == sum(b for _, b in rows) / len(rows)
+    got = {(r["kind"], r["key"]): r["share"] for r in model.shares.collect()}
+    assert sum(k == "site" for k, _ in got) == 60
+    for i in range(60):
+        expected = (3 * (i % 4 == 0) + urls.PRIOR_ROWS * model.overall) / (3 + urls.PRIOR_ROWS)
+        assert abs(got["site", f"s{i}.t{i % 3}"] - expected) < 1e-12
+
+
+def test_url_shares_reach_rows_of_hot_and_rare_keys(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://a.s{i % 9 if i % 2 else 0}.com/x") for i in range(200)] + [(900, None)], "page_id bigint, url string")
+    shares = spark.createDataFrame([("site", f"s{i}.com", i / 10) for i in range(5)], "kind string, key string, share double")
+    for parts in (10_000, 5):  # all keys hot; one of them
+        monkeypatch.setattr(urls, "HOT_PARTS", parts)
+        out = urls._with_shares(pages, "url", shares, 0.75).select("_row.*", "_s_site", "_s_suffix").collect()
+        assert len(out) == 201
+        for r in out:
+            site = r["url"] and int(r["url"].split(".")[1][1:])
+            assert r["_s_site"] == (site / 10 if site is not None and site < 5 else 0.75) and r["_s_suffix"] == 0.75
+
+
 def test_warc_records_link_back(spark):
     html = "<html lang='de'><head><title>A &amp; B</title><script>x<y</script></head><body><p>eins&#33; &lt;b&#x3e;</p><!-- c --><a href='/u?a=1&amp;b=2'>zwei</a><br>drei  vier</body></html>"
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None)], "page_id bigint, url string, html string")

@@ -1,8 +1,9 @@
 """URL filters: fixed rules by host and path, and boosted trees on lexical features for the rest.
 
 Trees learn from URLs that are labelled already (here: those that a rule decides), a bounded
-sample of them chosen by hash.  Statistics of host suffixes come from that sample and are joined
-back, so what is broadcast is bounded by the sample's size, not by the table's.
+sample of them chosen by hash and weighted by the classes' full counts.  Statistics of host
+suffixes come from all labelled URLs and are joined back by key: keys of many pages are
+broadcast, a bounded number of them, and the rest shuffles.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.functions.joins import HOT_PARTS, SALTS
 from tillroll.sources.staging import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SAMPLE_ROWS = 20_000
 PRIOR_ROWS = 20.0  # how many rows of the overall share each suffix statistic starts from
+KINDS = ("suffix", "site", "first_part")  # the keys of a URL that have a share of blocked URLs
 FEATURES = (
     "url_length", "host_length", "path_length", "query_length", "depth", "host_labels",
     "digit_ratio", "upper_ratio", "mark_ratio", "entropy", "path_entropy", "longest_label",
@@ -77,6 +80,21 @@ def _ratio(text: Column, kept: str) -> Column:
     return F.when(F.length(text) > 0, 1.0 - removed / F.length(text)).otherwise(0.0)
 
 
+def _first_part(path: Column) -> Column:
+    return F.coalesce(F.get(F.filter(F.split(path, "/"), lambda p: p != ""), F.lit(0)), F.lit(""))
+
+
+def _keys(url: Column) -> Column:
+    """Struct of the keys by which shares of blocked URLs are kept."""
+    labels = F.split(host_of(url), r"\.")
+    keys = {
+        "suffix": F.element_at(labels, -1),
+        "site": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)),
+        "first_part": _first_part(path_of(url)),
+    }
+    return F.struct(*[keys[k].alias(k) for k in KINDS])
+
+
 def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     """``df`` with struct ``_lex``: features of the text of a URL; null URLs count as empty."""
     full = F.coalesce(F.col(url), F.lit(""))
@@ -84,7 +102,7 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     query = F.regexp_extract(full, r"\?([^#]*)", 1)
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    first = _first_part(path)
     name = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
     values = {
         "url_length": F.length(full),
@@ -108,57 +126,75 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
         "first_part_length": F.length(first),
     }
     names = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()]
-    keys = {
-        "suffix": F.element_at(labels, -1),
-        "site": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)),
-        "first_part": first,
-    }
     prepared = df.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
-    return prepared.withColumn("_lex", F.struct(*names)).withColumn(
-        "_keys", F.struct(*[v.alias(k) for k, v in keys.items()])
-    )
+    return prepared.withColumn("_lex", F.struct(*names)).drop("_host", "_path")
 
 
 class UrlModel(NamedTuple):
-    """Fitted trees, the suffix statistics and the overall share of blocked URLs."""
+    """Fitted trees, the statistics per key and the overall share of blocked URLs."""
 
-    trees: object  # None if the sample had one class only
+    trees: object  # None if there was one class only
     shares: DataFrame
     overall: float
 
 
+def _long(keyed: DataFrame, *columns: str) -> DataFrame:
+    """One row per row of ``keyed`` and kind: ``columns``, ``kind`` and ``key``."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_keys.{k}").alias("key")) for k in KINDS])
+    return keyed.select(*columns, F.explode(kinds).alias("_at")).select(*columns, "_at.kind", "_at.key")
+
+
 def _shares(labelled: DataFrame, overall: float) -> DataFrame:
-    """Share of blocked sample URLs per (kind, key), drawn towards the overall share."""
-    kinds = F.array(
-        *[
-            F.struct(F.lit(k).alias("kind"), F.col(f"_keys.{k}").alias("key"))
-            for k in ("suffix", "site", "first_part")
-        ]
-    )
-    long = labelled.select("_label", F.explode(kinds).alias("at"))
-    return long.groupBy("at.kind", "at.key").agg(
+    """Share of blocked URLs per (kind, key), drawn towards the overall share."""
+    return _long(labelled, "_label").groupBy("kind", "key").agg(
         ((F.sum("_label") + PRIOR_ROWS * overall) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias("share")
     )
 
 
-def _vectors(lex: DataFrame, shares: DataFrame, overall: float) -> DataFrame:
-    out = lex
-    for kind in ("suffix", "site", "first_part"):
-        side = shares.where(F.col("kind") == kind).select(
-            F.col("key").alias(f"_k_{kind}"), F.col("share").alias(f"_s_{kind}")
+def _with_shares(df: DataFrame, url: str, shares: DataFrame, overall: float) -> DataFrame:
+    """``df`` as struct ``_row``, its URL as ``_url``, and ``_s_*``, the share of each of its keys.
+
+    The table of shares has no bound.  Keys of more than one row in ``HOT_PARTS`` are broadcast,
+    fewer than ``HOT_PARTS`` a kind, and their rows salted past the shuffle join of the others.
+    """
+    hashable = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = df.select(
+        F.struct("*").alias("_row"), F.col(url).alias("_url"), F.xxhash64(*hashable).alias("_spread"),
+        _keys(F.col(url)).alias("_keys"),
+    )
+    sizes = _long(keyed).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    frame = staged(sizes.join(shares, ["kind", "key"], "left"), "url-keys")
+    total = frame.where(F.col("kind") == KINDS[0]).agg(F.sum("n")).first()[0] or 0
+    out = keyed
+    for kind in KINDS:
+        own, hot = F.col("kind") == kind, F.col("n") * HOT_PARTS > total
+        share = F.coalesce("share", F.lit(overall))
+        few = frame.where(own & hot).select(F.col("key").alias("_few"), share.alias("_few_share"))
+        # Always 0, in a form that is not folded: a constant would drop out of the join keys.
+        zero = F.when(F.col("n") < 0, 1).otherwise(0).cast("bigint")
+        many = frame.where(own & ~hot).select(
+            F.col("key").alias("_many"), zero.alias("_many_salt"), share.alias("_many_share")
         )
-        # At most one row per key of the bounded sample.
-        out = out.join(F.broadcast(side), F.col(f"_keys.{kind}") == F.col(f"_k_{kind}"), "left")
-        out = out.withColumn(f"_s_{kind}", F.coalesce(f"_s_{kind}", F.lit(overall))).drop(f"_k_{kind}")
+        out = out.join(F.broadcast(few), F.col(f"_keys.{kind}") == F.col("_few"), "left")
+        salt = F.when(F.col("_few").isNotNull(), 1 + F.pmod("_spread", F.lit(SALTS))).otherwise(0)
+        out = out.withColumn("_salt", salt.cast("bigint"))
+        met = (F.col(f"_keys.{kind}") == F.col("_many")) & (F.col("_salt") == F.col("_many_salt"))
+        out = out.join(many, met, "left").withColumn(f"_s_{kind}", F.coalesce("_few_share", "_many_share"))
+        out = out.drop("_few", "_few_share", "_salt", "_many", "_many_salt", "_many_share")
+    return out.drop("_spread", "_keys")
+
+
+def _vectors(df: DataFrame, url: str, shares: DataFrame, overall: float) -> DataFrame:
+    """``df`` as struct ``_row``, and ``_vector``."""
+    out = lexical(_with_shares(df, url, shares, overall), "_url")
     lexical_names = [f for f in FEATURES if not f.endswith("_share")]
     flat = out.select(
-        "*",
+        "_row",
         *[F.col(f"_lex.{f}").alias(f"_f_{f}") for f in lexical_names],
-        *[F.col(f"_s_{k}").alias(f"_f_{k}_share") for k in ("suffix", "site", "first_part")],
+        *[F.col(f"_s_{k}").alias(f"_f_{k}_share") for k in KINDS],
     )
     columns = [f"_f_{f}" for f in FEATURES]
-    made = VectorAssembler(inputCols=columns, outputCol="_vector").transform(flat)
-    return made.drop(*columns, *[f"_s_{k}" for k in ("suffix", "site", "first_part")])
+    return VectorAssembler(inputCols=columns, outputCol="_vector").transform(flat).drop(*columns)
 
 
 def fit(
@@ -167,28 +203,33 @@ def fit(
 ) -> UrlModel:
     """Learn blocked (1) from allowed (0) URLs.
 
-    Of distinct URLs the ``sample_rows / 2`` of least hash of each class are taken.  With only
-    one class, or none, there are no trees and every URL gets that class (none: allowed).
+    Shares are those of all distinct URLs.  The trees see the ``sample_rows / 2`` of least hash of
+    each class, weighted so that each class counts as it does among all.  With only one class, or
+    none, there are no trees and every URL gets that class (none: allowed).
     """
     known = labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("_label"))
-    known = known.where("url is not null and _label is not null").distinct()
-    place = Window.partitionBy("_label").orderBy(F.xxhash64("url"), "url")
-    sample = known.withColumn("_place", F.row_number().over(place)).where(
-        F.col("_place") <= sample_rows // 2
-    )
-    # A bounded table, read back in few partitions: the trees pass over it a hundred times.
-    rows = staged(lexical(sample.drop("_place")), "url-sample")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("bad")).first()
+    known = staged(known.where("url is not null and _label is not null").distinct(), "url-labels")
+    counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("bad")).first()
     n, bad = counts["n"], counts["bad"] or 0
     overall = bad / n if n else 0.0
-    shares = staged(_shares(rows, overall), "shares")
+    shares = staged(_shares(known.withColumn("_keys", _keys(F.col("url"))), overall), "shares")
     model = None
     if 0 < bad < n:
-        data = _vectors(rows, shares, overall).select("_vector", F.col("_label").cast("double"))
+        place = Window.partitionBy("_label").orderBy(F.xxhash64("url"), "url")
+        sample = known.withColumn("_place", F.row_number().over(place)).where(
+            F.col("_place") <= sample_rows // 2
+        )
+        # A bounded table, read back in few partitions: the trees pass over it a hundred times.
+        rows = staged(sample.drop("_place"), "url-sample")
+        taken = [min(c, sample_rows // 2) for c in (n - bad, bad)]
+        scale = sum(taken) / n
+        weight = F.when(F.col("_row._label") == 1, bad / taken[1] * scale).otherwise((n - bad) / taken[0] * scale)
+        data = _vectors(rows, "url", shares, overall)
+        data = data.select("_vector", F.col("_row._label").cast("double").alias("_label"), weight.alias("_weight"))
         data = staged(data, "url-vectors")
         model = GBTClassifier(
-            featuresCol="_vector", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.2,
-            subsamplingRate=1.0, seed=7, maxBins=32,
+            featuresCol="_vector", labelCol="_label", weightCol="_weight", maxIter=trees, maxDepth=depth,
+            stepSize=0.2, subsamplingRate=1.0, seed=7, maxBins=32,
         ).fit(data)
     return UrlModel(model, shares, overall)
 
@@ -196,11 +237,10 @@ def fit(
 def predict(df: DataFrame, model: UrlModel, url: str = "url", out: str = "block_score") -> DataFrame:
     """``df`` and the probability that a URL is to be blocked, in ``out``."""
     df = df.drop(out)
-    names = df.columns
     if model.trees is None:
         return df.withColumn(out, F.lit(float(model.overall >= 0.5)))
-    scored = model.trees.transform(_vectors(lexical(df, url), model.shares, model.overall))
-    return scored.select(*names, vector_to_array("probability")[1].alias(out))
+    scored = model.trees.transform(_vectors(df, url, model.shares, model.overall))
+    return scored.select("_row.*", vector_to_array("probability")[1].alias(out))
 
 
 def judge(
