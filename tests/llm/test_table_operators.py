@@ -110,6 +110,15 @@ def test_url_shares_count_all_labelled_urls(spark):
         assert abs(got["site", f"s{i}.t{i % 3}"] - expected) < 1e-12
 
 
+def test_url_sample_ranks_few_rows(spark):
+    known = spark.range(20_000).selectExpr("concat('http://a/', id) AS url", "cast(id % 5 = 0 as int) AS _label")
+    hashed = known.select("url", "_label", F.xxhash64("url").alias("h")).collect()
+    least = {r["url"] for b in (0, 1) for r in sorted((r for r in hashed if r["_label"] == b), key=lambda r: r["h"])[:100]}
+    assert {r["url"] for r in urls._sample(known, (16_000, 4_000), 100).collect()} == least
+    passed = sum(r["h"] < int(300 / 16_000 * 2**64) - 2**63 for r in hashed if r["_label"] == 0)
+    assert known.where("_label = 0").where(urls._least_hashed(300 / 16_000)).count() == passed < 600
+
+
 def test_url_shares_reach_rows_of_hot_and_rare_keys(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://a.s{i % 9 if i % 2 else 0}.com/x") for i in range(200)] + [(900, None)], "page_id bigint, url string")
     shares = spark.createDataFrame([("site", f"s{i}.com", i / 10) for i in range(5)], "kind string, key string, share double")

@@ -197,6 +197,28 @@ def _vectors(df: DataFrame, url: str, shares: DataFrame, overall: float) -> Data
     return VectorAssembler(inputCols=columns, outputCol="_vector").transform(flat).drop(*columns)
 
 
+def _least_hashed(share: float) -> Column:
+    """Whether the hash of a URL is among the lowest ``share`` of all possible hashes."""
+    return F.lit(True) if share >= 1 else F.xxhash64("url") < F.lit(int(share * 2**64) - 2**63)
+
+
+def _sample(known: DataFrame, counts: tuple[int, int], most: int) -> DataFrame:
+    """The ``most`` distinct URLs of least hash of each label, 0 and 1, of which there are ``counts``.
+
+    Only hashes below a bound that lets little more than ``most`` pass are ranked, since a label's
+    rows meet in one task; should too few pass, the bound is doubled.
+    """
+    parts = []
+    for label, count in enumerate(counts):
+        own, share = known.where(F.col("_label") == label), (most + 10 * most**0.5 + 100) / count
+        while share < 1 and own.where(_least_hashed(share)).count() < most:
+            share *= 2
+        parts.append(own.where(_least_hashed(share)))
+    place = Window.partitionBy("_label").orderBy(F.xxhash64("url"), "url")
+    ranked = parts[0].unionByName(parts[1]).withColumn("_place", F.row_number().over(place))
+    return ranked.where(F.col("_place") <= most).drop("_place")
+
+
 def fit(
     labelled: DataFrame, url: str = "url", label: str = "label", sample_rows: int = SAMPLE_ROWS,
     trees: int = 20, depth: int = 4,
@@ -215,12 +237,8 @@ def fit(
     shares = staged(_shares(known.withColumn("_keys", _keys(F.col("url"))), overall), "shares")
     model = None
     if 0 < bad < n:
-        place = Window.partitionBy("_label").orderBy(F.xxhash64("url"), "url")
-        sample = known.withColumn("_place", F.row_number().over(place)).where(
-            F.col("_place") <= sample_rows // 2
-        )
         # A bounded table, read back in few partitions: the trees pass over it a hundred times.
-        rows = staged(sample.drop("_place"), "url-sample")
+        rows = staged(_sample(known, (n - bad, bad), sample_rows // 2), "url-sample")
         taken = [min(c, sample_rows // 2) for c in (n - bad, bad)]
         scale = sum(taken) / n
         weight = F.when(F.col("_row._label") == 1, bad / taken[1] * scale).otherwise((n - bad) / taken[0] * scale)
