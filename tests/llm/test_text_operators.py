@@ -146,6 +146,28 @@ def test_language_held_out_accuracy_and_switches(spark):
     assert [(r["lang_pred"], r["score"]) for r in rows[1:]] == [("und", 0.0)] * 2
 
 
+def test_language_sample_is_of_distinct_texts_and_spans(spark, monkeypatch):
+    rows = [(f"text number {i}", "en") for i in range(30)]
+    hashed = spark.createDataFrame(rows, "text string, lang string").selectExpr("text", "xxhash64(text) h").collect()
+    least = [r["text"] for r in sorted(hashed, key=lambda r: r["h"])[:5]]
+    rows += [(least[0], "en")] * 50 + [("wort " * 100, "de"), (" " * 300 + "x" + " " * 300, "fr"), (None, "en"), ("12", "it")]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    monkeypatch.setattr(langid, "train", lambda texts, langs: list(zip(langs, texts)))
+    got = langid.fit(labelled, docs_per_language=5, longest=40)
+    assert [t for k, t in got if k == "en"] == least
+    spans = dict(got)
+    assert set(spans) == {"en", "de", "fr"} and len(spans["de"]) == 40 and spans["de"] in "wort " * 100
+    assert "x" in spans["fr"] and len(spans["fr"]) == 40
+
+
+def test_languages_of_few_words_are_learned():
+    texts = ["日本語の文章です", "これは本です", "the cat sat on the mat", "a dog and the other dog ran"] * 3
+    crf = langid.train(texts, ["ja", "ja", "en", "en"] * 3)
+    batch = pa.RecordBatch.from_pydict({"text": ["これは本です", "the dog sat"], "_has_letter": [True, True]})
+    out = langid._identified(batch, batch.column("text"), batch.column("_has_letter"), crf, False)
+    assert out.column("lang_pred").to_pylist() == ["ja", "en"]
+
+
 def test_licences_found_and_prose_left_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     model = licences.fit(docs)

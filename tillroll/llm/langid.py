@@ -158,10 +158,15 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
 
 
 def _sequences(texts: list[str], labels: np.ndarray, rng, words: int = 48) -> tuple[Letters, list, np.ndarray]:
-    """Equal-length sequences of spans of 4 to 24 words whose languages switch at random."""
+    """Equal-length sequences of spans of 4 to 24 words whose languages switch at random.
+
+    Texts of fewer words serve only languages that have no longer ones.
+    """
     parts = letter_words(pa.array(texts, pa.large_string()))
     lengths = np.diff(parts.first)
     by_label = [np.flatnonzero((labels == k) & (lengths >= 4)) for k in range(labels.max() + 1)]
+    # A language of short texts only, or of a script without blanks, is learned from what it has.
+    by_label = [d if len(d) else np.flatnonzero((labels == k) & (lengths > 0)) for k, d in enumerate(by_label)]
     known = [k for k, docs in enumerate(by_label) if len(docs)]
     n = max(64, min(6_000, int(lengths.sum()) // words))
     index = np.empty((n, words), dtype=np.int64)
@@ -245,17 +250,27 @@ def fit(
     labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None,
     docs_per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST_SAMPLE,
 ) -> Crf | None:
-    """Train on ``docs_per_language`` texts of each language, those of least hash.
+    """Train on ``docs_per_language`` distinct texts of each language, those of least hash.
 
-    Texts beyond ``longest`` characters, without letters or without a language are not sampled,
-    so the sample that the driver holds is bounded by the two parameters and the number of
-    languages.  None without any labelled text.
+    Of a text beyond ``longest`` characters a span of that length serves, placed by the hash, or
+    from its first letter on if that one has none.  Texts without letters or without a language
+    are not sampled, so the sample that the driver holds is bounded by the two parameters and the
+    number of languages.  None without any labelled text.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    usable = (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.where(usable).withColumn("place", F.row_number().over(place))
-    sample = sample.where(F.col("place") <= docs_per_language).orderBy("lang", "place").collect()
+    rows = rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Copies fall together before they are ranked, without shuffling any text.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("place", place)
+    least = least.where(F.col("place") <= docs_per_language)
+    texts = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "place", "h").agg(F.min("text").alias("text"))
+    start = F.pmod("h", F.length("text") - longest + 1) + 1
+    span = F.substr("text", start.cast("int"), F.lit(longest))
+    lettered = F.substr("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(longest))
+    cut = F.when(span.rlike(r"\p{L}"), span).otherwise(lettered)
+    texts = texts.withColumn("text", F.when(F.length("text") <= longest, F.col("text")).otherwise(cut))
+    sample = texts.select("lang", "place", "text").orderBy("lang", "place").collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
