@@ -144,3 +144,19 @@ def test_warc_records_link_back(spark):
     assert rows[1, "conversion"]["block"] == "A & B\neins! <b>\nzwei\ndrei vier"
     assert rows[1, "metadata"]["block"] == "title: A & B\r\nlanguage: de\r\noutlinks: 1\r\noutlink: /u?a=1&b=2"
     assert rows[2, "conversion"]["block"] == "" and "Target-URI" not in rows[2, "conversion"]["header"]
+
+
+def test_warc_cells_entities_and_links(spark):
+    cases = [
+        ("<table><tr><td>12</td><td>34</td></tr><tr><th>a<th>b</table>", "12 34\na b", []),
+        ("<dl><dt>x</dt><dd>y</dd></dl><main>m</main><aside>n</aside><select><option>1<option>2</select>", "x\ny\nm\nn\n1\n2", []),
+        ("<figure>f<figcaption>c</figcaption></figure><b>in</b>line<form>g</form>", "f\nc\ninline\ng", []),
+        ("caf&eacute; &uuml;&ntilde; &amp;lt; &nosuch; &NotEqualTilde; &#233; R&D; & Co", "café üñ &lt; &nosuch; ≂̸ é R&D; & Co", []),
+        ("<a href=/u/1>a</a><a class=x href = \"it's\">b</a><a data-href='n' href='say \"q\"'>c</a>", "abc", ["/u/1", "it's", 'say "q"']),
+        ("<a href='/x?a=1&amp;b=&eacute;'>a</a><a\nhref=\"/l\nine\">b</a><a name=z>c</a><a HREF=''>d</a>", "abcd", ["/x?a=1&b=é", "/line", ""]),
+    ]
+    pages = spark.createDataFrame([(i, "http://a/", h) for i, (h, *_) in enumerate(cases)], "page_id bigint, url string, html string")
+    rows = {(r["source_key"], r["warc_type"]): r["block"] for r in warc.derive(warc.responses(pages)).collect()}
+    for i, (_, text, links) in enumerate(cases):
+        assert rows[i, "conversion"] == text
+        assert rows[i, "metadata"].split("\r\n")[2:] == [f"outlinks: {len(links)}", *[f"outlink: {x}" for x in links]]

@@ -8,12 +8,14 @@ derivative can be traced without the archive it came from.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-# Named character references that are decoded; numeric ones are decoded by code point.
+# The frequent named character references, with a plain blank for nbsp; the others are looked up in
+# the table of HTML, numeric ones are decoded by code point.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
     "reg": "®", "middot": "·", "mdash": "—", "ndash": "–", "hellip": "…",
@@ -21,7 +23,18 @@ ENTITIES = {
     "ldquo": "“", "rdquo": "”", "euro": "€", "bull": "•",
 }
 DROPPED = "script|style|noscript|template"
-BREAKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|head|body|blockquote|pre|hr"
+# Elements that end a line.
+BREAKS = (
+    "p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|head|body|blockquote|pre|hr|"
+    "html|main|aside|address|search|hgroup|dl|dt|dd|dir|menu|figure|figcaption|caption|colgroup|col|thead|tbody|tfoot|"
+    "form|fieldset|legend|option|optgroup|datalist|details|summary|dialog|center|frameset|frame|noframes|"
+    "listing|xmp|plaintext"
+)
+# Cells of a row, and elements that stand between words without ending the line.
+BLANKS = (
+    "td|th|button|input|select|textarea|meter|progress|img|picture|iframe|object|embed|"
+    "audio|video|canvas|svg|map|area|marquee"
+)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -69,10 +82,20 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _other_entities() -> Column:
+    """A constant map of HTML's other named references, from two literals."""
+    names = sorted(n[:-1] for n in html5 if n.endswith(";") and n[:-1] not in ENTITIES)
+    keys, values = F.lit(" ".join(names)), F.lit("\x1f".join(html5[f"{n};"] for n in names))
+    return F.map_from_arrays(F.split(keys, " "), F.split(values, "\x1f"))
+
+
 def decode_entities(text: Column) -> Column:
-    """Named references of the list, and numeric ones up to the last code point, in one pass."""
-    named = "|".join(ENTITIES)
-    reference = f"#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{named}"
+    """Named references of HTML, and numeric ones up to the last code point, in one pass.
+
+    References need their semicolon; unknown names stay as they are.
+    """
+    reference = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31}"
+    others = _other_entities()
 
     def character(name: Column) -> Column:
         hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
@@ -83,7 +106,7 @@ def decode_entities(text: Column) -> Column:
         out = F.when(F.startswith(name, F.lit("#")), code)
         for entity, value in ENTITIES.items():
             out = out.when(name == entity, value)
-        return out
+        return out.otherwise(F.coalesce(F.try_element_at(others, name), F.concat(F.lit("&"), name, F.lit(";"))))
 
     def one(piece: Column) -> Column:
         name = F.substring_index(piece, ";", 1)
@@ -103,13 +126,14 @@ def _without(html: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Text of a page, one line per block element, blanks folded, empty lines dropped."""
+    """Text of a page, one line per block element, cells apart, blanks folded, empty lines dropped."""
     return _text_of(_without(html))
 
 
 def _text_of(clean: Column) -> Column:
     text = F.regexp_replace(clean, r"[\t\r\n]+", " ")  # runs of blanks are folded last
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})(?:\s[^>]*)?/?>", "\n")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLANKS})(?:\s[^>]*)?/?>", " ")
     text = F.regexp_replace(text, r"<[!/?a-zA-Z][^>]*>", "")
     text = decode_entities(text)
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
@@ -124,7 +148,13 @@ def _fields(clean: Column) -> Column:
     folded = F.regexp_replace(F.regexp_extract(clean, r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\r\n]+", " ")
     title = F.trim(decode_entities(folded))
     language = F.regexp_extract(clean, r"(?is)<html[^>]*\slang=[\"']?([a-zA-Z-]+)", 1)
-    links = F.regexp_extract_all(clean, F.lit(r"(?is)<a\s[^>]*?href=[\"']([^\"'\r\n]*)[\"']"), F.lit(1))
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+    links = F.regexp_extract_all(clean, F.lit(rf"""(?is)<a\s(?:[^>]*?[\s"'/])?href\s*=\s*{value}"""), F.lit(1))
+
+    def target(found: Column) -> Column:
+        """Without the quotes around it, and without line ends, which URLs lose."""
+        bare = F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2")
+        return F.translate(decode_entities(bare), "\r\n", "")
 
     def lines(found: Column) -> Column:
         first = F.array(
@@ -132,7 +162,7 @@ def _fields(clean: Column) -> Column:
             F.concat(F.lit("language: "), language),
             F.concat(F.lit("outlinks: "), F.size(found).cast("string")),
         )
-        return F.concat(first, F.transform(found, lambda x: F.concat(F.lit("outlink: "), decode_entities(x))))
+        return F.concat(first, F.transform(found, lambda x: F.concat(F.lit("outlink: "), target(x))))
 
     return F.array_join(_once(links, lines), CRLF)
 
