@@ -1,9 +1,9 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with fixed-length MinHash LSH banding and exact verification.
 
-A signature is cut into trees of ``depth`` values; a tree's sorted signatures are a trie, and the
-texts below one of its nodes share a prefix.  Prefixes are shortened from the full depth until a
-pair just at the threshold shares one in some tree with the target recall.  Texts that share a
-prefix are candidates; candidates form components, and inside a component every pair is verified
+A signature is cut into ``trees`` bands of one length, the longest up to ``depth`` values at which
+a pair just at the threshold shares a whole band with the target recall.  This is no LSH forest:
+there is no trie, and no band is shortened for texts that found few others.  Texts that share a
+band are candidates; candidates form components, and inside a component every pair is verified
 on whole shingle sets, blocks of a large component in pairs of blocks.  Links are counted where
 they are verified, and only one link per text and block pair travels on, so no list of all pairs
 is ever written.
