@@ -81,4 +81,41 @@ SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_
        folded_root = root AS verified
 FROM placed JOIN subroots USING (g) CROSS JOIN top JOIN ends USING (id) LEFT JOIN proofs USING (id)"""
 
-ORACLE: dict[str, str] = {"op13_merkle": MERKLE}
+_USABLE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
+_SCORE = "cast(list_dot_product(cast(a.v as double[]), cast(b.v as double[])) as bigint)"
+
+TOP_K = f"""WITH rows AS (
+  SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE embedding IS NOT NULL AND {_USABLE}
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, {_SCORE} AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, cast(rank as int) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5"""
+
+NEGATIVES = f"""WITH rows AS (
+  SELECT vec_id, {_WHOLE} AS v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_USABLE}
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, {_SCORE} AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n
+                 FROM scored WHERE alike) WHERE n <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+         s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+   AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, cast(rank as int) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 3"""
+
+ORACLE: dict[str, str] = {
+    "op4_top_k": TOP_K,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_merkle": MERKLE,
+}
