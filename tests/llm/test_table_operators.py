@@ -2,10 +2,9 @@
 
 import re
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from tillroll.llm import catalog, mixing, topk, urls, warc
+from tillroll.llm import catalog, mixing, urls, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,23 +52,6 @@ def test_mix_comes_near_targets_and_reruns_agree(spark):
     assert {r["size"] for r in first if r["doc_id"] >= 9000} == {0}
 
 
-def test_top_k_equals_brute_force(spark):
-    rng = np.random.default_rng(3)
-    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
-    vectors += [(400, vectors[0][1]), (450, None), (500, [1.0, None] + [0.0] * 6), (550, [float("nan")] * 8), (600, [])]
-    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(4)
-    exact = {r["vec_id"]: r["v"] for r in df.select("vec_id", topk.integer_vector(F.col("embedding")).alias("v")).collect()}
-    known = {i: np.array(v, dtype=np.int64) for i, v in exact.items() if v is not None and len(v) == 8}
-    expected = []
-    for q in sorted(i for i in known if i % 50 == 0):
-        best = sorted((-int(known[q] @ v), i) for i, v in known.items() if i != q)[:5]
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    for shard_rows, block_rows in ((8192, 4096), (60, 3)):
-        found = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, block_rows=block_rows)
-        assert sorted(tuple(r) for r in found.collect()) == expected
-    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
-
-
 def test_url_rules_and_verdicts(spark):
     cases = [
         (1, "https://WWW.Example.com/en/x?q#f", "www.example.com", "/en/x", "www.example.com/en/"),

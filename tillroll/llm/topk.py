@@ -14,24 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.llm.vectors import NO_ID, SCORE, as_long, as_score, group_vectors, usable
 from tillroll.sources.staging import staged
 
 SHARD_ROWS = 8_192
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
 LEAF_ROWS = 64
-LARGEST = 1 << 27  # components beyond this could overflow the score of a vector of 512 components
 
 
 class Tree:
     """Median splits along the widest side; boxes are tight."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf_rows: int = LEAF_ROWS):
-        order = np.arange(len(ids))
+    def __init__(self, points: np.ndarray, leaf_rows: int = LEAF_ROWS):
+        order = np.arange(len(points))
         low, high, child, span = [], [], [], []
-        todo = [(0, len(ids), -1, 0)]
+        todo = [(0, len(points), -1, 0)]
         while todo:
             start, stop, parent, side = todo.pop()
             part = points[order[start:stop]]
@@ -50,15 +50,20 @@ class Tree:
                 todo += [(start, start + middle, node, 0), (start + middle, stop, node, 1)]
         self.low, self.high = np.array(low), np.array(high)
         self.child, self.span = child, span
-        self.ids, self.points = ids[order], points[order]
+        self.order, self.points = order, points[order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """For each query and box the largest inner product with a point of the box."""
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         return up @ self.high.T + down @ self.low.T
 
-    def search(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int, floor: int | None) -> list:
-        """The k best (score, -id) that reach ``floor``, without the query's own id."""
+    def search(
+        self, query: np.ndarray, own: int, ids: list[int], bounds: np.ndarray, k: int, floor: int | None
+    ) -> list:
+        """The k best (score, -id) that reach ``floor``, without the query's own place.
+
+        ``ids`` and ``own`` go by place in the tree's order.
+        """
         best: list[tuple[int, int]] = []  # a heap, the worst first
         kth = floor
         heap = [(-int(bounds[0]), 0)]
@@ -75,9 +80,10 @@ class Tree:
             start, stop = self.span[node]
             scores = self.points[start:stop] @ query
             near = np.arange(stop - start) if kth is None else np.flatnonzero(scores >= kth)
-            for score, vec in zip(scores[near].tolist(), self.ids[start:stop][near].tolist()):
-                if vec == own:
+            for score, place in zip(scores[near].tolist(), (near + start).tolist()):
+                if place == own:
                     continue
+                vec = ids[place]
                 if len(best) < k:
                     heapq.heappush(best, (score, -vec))
                 elif (score, -vec) > best[0]:
@@ -87,14 +93,8 @@ class Tree:
         return best
 
 
-def exact_integers(points: np.ndarray) -> np.ndarray:
-    """Doubles where every inner product is exact in them, else 64-bit integers."""
-    largest = int(np.abs(points).max()) if points.size else 0
-    return points.astype(np.float64) if largest**2 * max(1, points.shape[1]) < 1 << 52 else points
-
-
-def _search_groups(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each (dim, shard, block) group.
+def _search_groups(pairs: DataFrame, k: int, factor: int) -> DataFrame:
+    """(query, vec_id, score) of each (dim, shard, block) group; ``query`` is a row number.
 
     A group holds one shard and one block of queries, so its size is bounded.
     """
@@ -102,50 +102,35 @@ def _search_groups(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         is_query = table.column("query").to_numpy()
-        rows = table.num_rows
-        dim = int(table.column("dim")[0].as_py())
-        flat = table.column("vector").combine_chunks().flatten().to_numpy()
-        points = exact_integers(flat.reshape(rows, dim))
-        ids = table.column("vec_id").to_numpy()
-        floors = table.column("floor").to_pylist()
-        out: list[tuple[int, int, int]] = []
-        if is_query.any() and not is_query.all():
-            tree = Tree(ids[~is_query], points[~is_query])
-            at = np.flatnonzero(is_query)
+        at, rest = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        out: list[tuple] = []
+        if len(at) and len(rest):
+            points, row = group_vectors(table, factor), table.column("row").to_numpy()
+            tree = Tree(points[rest])
+            packed = rest[tree.order]
+            ids = [NO_ID if x is None else x for x in table.column("vec_id").take(pa.array(packed)).to_pylist()]
+            place_of = {r: i for i, r in enumerate(row[packed].tolist())}
+            floors = table.column("floor").take(pa.array(at)).to_pylist()
             for start in range(0, len(at), 256):
                 part = at[start : start + 256]
-                bounds = tree.bounds(points[part])
-                for i, b in zip(part, bounds):
-                    found = tree.search(points[i], int(ids[i]), b, k, floors[i])
-                    out += [(int(ids[i]), -vec, int(score)) for score, vec in found]
+                for i, (query, b) in enumerate(zip(part, tree.bounds(points[part])), start):
+                    floor = None if floors[i] is None else int(floors[i])
+                    found = tree.search(points[query], place_of.get(int(row[query]), -1), ids, b, k, floor)
+                    out += [(int(row[query]), None if vec == -NO_ID else -vec, as_score(score)) for score, vec in found]
+        kinds = (pa.int64(), pa.int64(), pa.decimal128(38, 0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[j] for r in out], pa.int64()) for j in range(3)],
-            names=["query_id", "vec_id", "score"],
+            [pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["query", "vec_id", "score"]
         )
 
-    return pairs.groupBy("dim", "shard", "block").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best per query; at most k per shard come in, and aggregation combines them early."""
-    ordered = F.struct((-F.col("score")).alias("less"), F.col("vec_id"))
-    rows = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(ordered)), 1, k).alias("best"))
-    return rows.select("query_id", F.posexplode("best").alias("place", "at")).select(
-        "query_id",
-        (F.col("place") + 1).cast("int").alias("rank"),
-        F.col("at.vec_id").alias("vec_id"),
-        (-F.col("at.less")).alias("score"),
-    )
+    return pairs.groupBy("dim", "shard", "block").applyInArrow(run, f"query bigint, vec_id bigint, score {SCORE}")
 
 
-def integer_vector(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of each component as a double; null if any is missing or not finite."""
-    wide = F.transform(vector, lambda x: F.floor(x.cast("double") * factor))
-    usable = F.forall(
-        vector,
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(x.cast("double") * factor)) <= LARGEST),
-    )
-    return F.when(vector.isNotNull() & usable, wide.cast("array<bigint>"))
+def _best(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best per query; at most k per shard come in."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    rows = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return rows.join(named, "query").select("query_id", "rank", "vec_id", as_long(F.col("score")).alias("score"))
 
 
 def top_k(
@@ -160,39 +145,39 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products, ties to the smaller id.
 
-    Vectors that are null, hold a null, a non-finite or too large a component, or have no id take
-    no part.  Of several vectors with one id the least takes part.  Vectors are compared with
-    those of their own length; empty ones score 0.  Fewer candidates than k give fewer rows.
+    Vectors that are null or hold a component that is null or not finite take no part.  Rows
+    that share an id are rows of their own, each a query if ``is_query`` says so (null: no); a
+    query leaves out only its own row.  Rows without an id come last among equal scores.  Vectors
+    are compared with those of their own length; empty ones score 0.  Scores that no long holds
+    are ranked as they are, up to 38 digits, and returned as the nearest long.  Fewer candidates
+    than k give fewer rows.  Other columns are not read.
     """
-    rows = vectors.select(
-        F.col(key).cast("bigint").alias("vec_id"), integer_vector(F.col(vector), factor).alias("vector"),
+    kept = vectors.select(
+        F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("query"),
-    ).where("vec_id is not null and vector is not null")
-    rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("query").alias("query"))
-    rows = staged(rows.withColumn("dim", F.size("vector")), "vectors")
+    ).where(usable(F.col("vector")))
+    rows = staged(kept.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}), "vectors")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("q")).first()
     shards = max(1, -(-counts["n"] // shard_rows))
-    blocks = max(1, -(-(counts["q"] or 0) // block_rows))
-    columns = ["dim", "shard", "block", "vec_id", "vector"]
-    candidates = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(shards)))
-    queries = rows.where("query").withColumn("block", F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)))
+    blocks = max(1, -(-counts["q"] // block_rows))
+    columns = ["dim", "shard", "block", "row", "vec_id", "vector"]
+    candidates = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(shards)))
+    queries = rows.where("query").withColumn("block", F.pmod(F.xxhash64(F.lit(6), "row"), F.lit(blocks)))
 
     def meet(these: Column, known: DataFrame) -> DataFrame:
         """Candidates of some shards for every block, and queries for each of these shards."""
         left = candidates.where(these).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         left = left.withColumn("block", F.col("block").cast("bigint"))
-        left = left.select(*columns, F.lit(False).alias("query"), F.lit(None).cast("bigint").alias("floor"))
+        left = left.select(*columns, F.lit(False).alias("query"), F.lit(None).cast(SCORE).alias("floor"))
         right = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         right = right.withColumn("shard", F.col("shard").cast("bigint")).where(these)
         return left.unionByName(right.select(*columns, "query", "floor"))
 
-    first = queries.withColumn("floor", F.lit(None).cast("bigint"))
-    pilot = staged(_search_groups(meet(F.col("shard") == 0, first), k), "pilot")
+    first = queries.withColumn("floor", F.lit(None).cast(SCORE))
+    pilot = staged(_search_groups(meet(F.col("shard") == 0, first), k, factor), "pilot")
     if shards == 1:
-        return _best(pilot, k)
-    floors = pilot.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
-    ).withColumnRenamed("query_id", "vec_id")
-    known = queries.join(floors, "vec_id", "left")
-    rest = _search_groups(meet(F.col("shard") > 0, known), k)
-    return _best(pilot.unionByName(rest), k)
+        return _best(pilot, queries, k)
+    floors = pilot.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    known = queries.join(floors.withColumnRenamed("query", "row"), "row", "left")
+    rest = _search_groups(meet(F.col("shard") > 0, known), k, factor)
+    return _best(pilot.unionByName(rest), queries, k)
