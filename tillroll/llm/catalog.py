@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (
-    bpe, fingerprints, langid, licences, merkle, mixing, near, negatives, substrings, topk, urls, warc,
+    bpe, fingerprints, langid, licences, merkle, mixing, near, negatives, quality, substrings, topk, urls, warc,
 )
 from tillroll.llm.oracle import ORACLE  # noqa: F401
 
@@ -96,6 +96,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    learned = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    found = quality.classify(docs, quality.fit(docs, learned))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -111,6 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_derivatives, op2_fingerprints, op3_entropy_mix, op4_top_k, op5_licences, op6_substrings, op7_bpe,
-        op8_language, op9_url_filter, op10_jaccard_join, op12_hard_negatives, op13_merkle,
+        op8_language, op9_url_filter, op10_jaccard_join, op11_quality, op12_hard_negatives, op13_merkle,
     )
 }
