@@ -171,7 +171,7 @@ def test_hot_customers_bypass_the_shuffle_join(spark, orders, parts):
     names = [f"c{i % 90}" for i in range(200)] + ["hot"] * 100 + [None] * 30
     days = [date(2022 + i % 2, 1 + i % 12, 1 + i % 28) for i in range(len(names))]
     df = orders(*[{"customer_id": c, "order_date": d} for c, d in zip(names, days)])
-    joined = cohorts.cohort_orders(df, parts=parts)
+    joined = cohorts.cohort_orders(df, hot_parts=parts)
     pdf = df.toPandas()
     first = pdf.groupby("customer_id")["order_date"].transform("min")
 
@@ -282,8 +282,20 @@ def test_tiers_match_brute_force_and_tolerate_dropped_edges(orders):
     assert only["price_tier"] == "Budget" and only["order_count"] == 10
 
 
-def test_many_categories_take_the_shuffle_join(orders, monkeypatch):
-    df = priced_sample(orders)
+def test_any_number_of_categories_takes_one_path(spark, orders):
+    """No join is hinted, the orders are read once, and a hot price is one row."""
+    rows = [{"product_category": f"C{i % 300}", "unit_price": float(1 + i % 11)} for i in range(3600)]
+    rows += [{"product_category": "Hot", "unit_price": 9.99}] * 1800
+    rows += [{"product_category": "Hot", "unit_price": 9.99 + i * 1e-6} for i in range(300)]
+    df = orders(*rows)
+    prices = pricing.by_price(df)
+    assert prices.filter("product_category = 'Hot'").count() == 300  # 1,801 orders share a price
     expected = rows_of(pricing.price_bins(df))
-    monkeypatch.setattr(pricing, "few_groups", lambda *_: False)
-    assert rows_of(pricing.price_bins(df)) == expected
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pricing.price_bins(df)
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
+        assert rows_of(found) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["category"] for r in expected} == {"Hot", *(f"C{i}" for i in range(300))}

@@ -9,12 +9,13 @@ from tillroll.functions.numeric import (
     exprs,
     fine_avg,
     kurtosis_corrected,
+    money_avg,
     money_sum,
     pearson,
     rounded,
     skew_corrected,
 )
-from tillroll.functions.quantiles import FIFTHS, THIRDS, bin_index, exact_quantiles, few_groups
+from tillroll.functions.quantiles import FIFTHS, THIRDS, bin_index, exact_quantiles
 from tillroll.functions.text import dollars, in_millions, in_thousands, title_case
 
 
@@ -104,8 +105,8 @@ def test_exact_quantiles_match_numpy(spark, probs):
     }
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("spread", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    for small in (True, False):
-        got = {r["g"]: r for r in exact_quantiles(df, "v", probs, ["g"], small=small).collect()}
+    for fits in (200_000, 3):
+        got = {r["g"]: r for r in exact_quantiles(df, "v", probs, ["g"], fits=fits).collect()}
         for g, vs in groups.items():
             assert got[g]["quantiles"] == list(np.quantile(vs, probs)), g
             assert got[g]["n_values"] == len(vs)
@@ -135,9 +136,30 @@ def test_bins_drop_repeated_edges(spark, values, expected):
     assert want is None or want.tolist() == expected
 
 
-def test_few_groups_counts_up_to_its_limit(spark):
-    df = spark.range(20).selectExpr("id % 6 AS k")
-    assert few_groups(df, ["k"], limit=6) and not few_groups(df, ["k"], limit=5)
+def test_a_crowded_bucket_is_refined_until_it_fits(spark, monkeypatch):
+    """Thousands of values within one logarithmic bucket, others far off, groups without a bound:
+    no join of the plan is hinted, and no sort gets more than ``fits`` values of a bucket."""
+    random.seed(5)
+    crowded = [1000 + random.random() * 1e-3 for _ in range(4000)] + [1000.0] * 3000 + [5.0, 9e9, -3.0]
+    clustered = [2.0 ** -(k % 40) * (1 + k * 1e-9) for k in range(2000)]
+    wide = [1.7e308, -1.7e308, float("inf"), 5e-324, 0.0, -0.0, float("nan"), None]
+    rows = [("crowded", v) for v in crowded] + [("clustered", v) for v in clustered] + [("wide", v) for v in wide]
+    rows += [(f"g{i}", float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_quantiles(df, "v", probs, ["g"], fits=20)
+        plan = found._jdf.queryExecution().toString()
+        assert "Broadcast" not in plan and plan.count("finer") >= 1
+        got = {r["g"]: r for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got["crowded"]["quantiles"] == list(np.quantile(crowded, probs))
+    assert got["clustered"]["quantiles"] == list(np.quantile(clustered, probs))
+    assert got["wide"]["quantiles"][0] == -1.7e308 and got["wide"]["quantiles"][-1] == float("inf")
+    assert got["wide"]["quantiles"][2] in (0.0, 5e-324) and got["wide"]["n_values"] == 6
+    assert len(got) == 503 and got["g3"]["quantiles"] == [3.0] * 5
 
 
 def test_amounts_keep_digits_below_a_cent(spark):
@@ -155,3 +177,16 @@ def test_odd_amounts_do_not_stop_a_sum(spark):
     large = spark.range(200).selectExpr("1e18D AS x")
     assert one(large, money_sum("x")) == 2e20
     assert one(large, fine_avg("x")) == 1e18
+
+
+def test_totals_are_the_nearest_double(spark):
+    """As exact decimals of the written digits would give, from tiny to large amounts."""
+    from decimal import Decimal
+
+    random.seed(9)
+    values = [round(random.uniform(-1, 1) * 10**e, d) for e, d in ((3, 2), (5, 9), (8, 4), (12, 2)) for _ in range(300)]
+    df = doubles(spark, *values)
+    for some in (values[:300], values[300:600], values[600:900], values[900:], values):
+        expected = float(sum(Decimal(repr(v)) for v in some))
+        assert one(doubles(spark, *some), money_sum("x")) == expected
+    assert one(df.repartition(7), money_avg("x")) == float(sum(Decimal(repr(v)) for v in values)) / len(values)

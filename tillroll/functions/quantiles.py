@@ -1,9 +1,11 @@
 """Exact quantiles of very large groups, and the bins cut at them.
 
-``percentile`` keeps every distinct value of a group in one task's memory.  Here a
-group is first counted into narrow logarithmic buckets, which combine on the map side;
-the few buckets that hold a wanted rank are then looked at value by value.  A value that
-fills a third of the table is one counted row in both steps.
+``percentile`` keeps every distinct value of a group in one task's memory.  Here equal values are
+counted first, so a value that fills a third of the table is one row from then on.  The counted
+values go into narrow logarithmic buckets; a bucket that holds a wanted rank and has more distinct
+values than one task should sort gets a finer histogram of its own, between its least and its
+largest value, and so on until it fits.  Which buckets matter is a table like any other: it is
+joined without a hint, for one group as for millions.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import exprs
+from tillroll.sources.staging import staged
 
 # Bin probabilities as floating-point arithmetic yields them (even steps,
 # to percent and back); the plain 0.6 or 2/3 would put edges on tied data elsewhere.
@@ -21,17 +24,30 @@ FIFTHS = [0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0]
 THIRDS = [0.0, 0.33333333333333326, 0.6666666666666665, 1.0]
 
 BUCKETS_PER_E_FOLD = 4096
-GROUP_LIMIT = 10_000
+FINER_BUCKETS = 4096
+FITS = 200_000  # distinct values of one bucket that one task may sort
 
 # Never falls as the value rises; about 0.02 % wide from a ten-thousandth upwards.
-_BUCKET = (
-    f"cast(floor(signum(_v) * ln(1D + abs(_v) * 10000D) * {BUCKETS_PER_E_FOLD}D) as bigint)"
+_LOGARITHMIC = (
+    "CASE WHEN _v = double('Infinity') THEN 4000000000000 WHEN _v = double('-Infinity') THEN -4000000000000 "
+    f"ELSE cast(floor(signum(_v) * ln(1D + least(abs(_v), 1e300D) * 10000D) * {BUCKETS_PER_E_FOLD}D) as bigint) END"
 )
+# Even steps from the least to the largest value, the widest range halved first.
+_SHARE = (
+    "CASE WHEN _high - _low < 1e308D THEN (_v - _low) / (_high - _low) "
+    "ELSE (_v / 2 - _low / 2) / (_high / 2 - _low / 2) END"
+)
+_EVEN = f"least(cast(floor({_SHARE} * {FINER_BUCKETS}) as bigint), {FINER_BUCKETS - 1})"
+_RUNNING = "ROWS UNBOUNDED PRECEDING"
+
 
+def counted_values(rows: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """One row per group and distinct value: ``by`` columns, ``_v`` (double) and how often, ``_n``.
 
-def few_groups(rows: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
-    """Whether ``keys`` takes at most ``limit`` values (one small job)."""
-    return rows.select(*keys).distinct().limit(limit + 1).count() <= limit
+    Missing values and NaN are left out.  Combined on the map side.
+    """
+    points = rows.selectExpr(*by, f"cast({value} as double) + 0D AS _v", f"cast({weight or 1} as bigint) AS _n")
+    return points.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*by, "_v").agg(*exprs(_n="sum(_n)"))
 
 
 def exact_quantiles(
@@ -40,59 +56,52 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str],
     weight: str | None = None,
-    small: bool = False,
     approx: bool = False,
+    fits: int = FITS,
 ) -> DataFrame:
     """One row per group: ``by`` columns, ``quantiles`` (array<double>), ``n_values``.
 
-    Linear interpolation between order statistics.  ``weight`` counts equal rows that
-    were merged beforehand.  ``small`` says that the number of groups is known to be
-    bounded.  ``approx`` trades exactness for a single pass.
+    Linear interpolation between order statistics.  ``weight`` counts equal rows that were
+    merged beforehand.  ``approx`` takes the least value of each bucket, at most a four-thousandth
+    below (or a ten-thousandth's fraction near zero), in a single lazy pass.
     """
-    by = list(by)
-    keys, running = ", ".join(by), "ROWS UNBOUNDED PRECEDING"
-    points = rows.filter(f"{value} IS NOT NULL").selectExpr(
-        *by, f"cast({value} as double) AS _v", f"cast({weight or 1} as bigint) AS _n"
-    )
-    if approx:
-        if weight:
-            raise ValueError("approximate quantiles take unweighted rows")
-        listed = ", ".join(f"{p!r}D" for p in probs)
-        return points.groupBy(*by).agg(
-            *exprs(quantiles=f"percentile_approx(_v, array({listed}), 10000)", n_values="sum(_n)")
-        )
+    counted = counted_values(rows, value, by, weight)
+    return quantiles_of_counted(counted if approx else staged(counted, "values"), probs, by, fits, approx)
+
 
+def quantiles_of_counted(
+    counted: DataFrame, probs: Sequence[float], by: Sequence[str], fits: int = FITS, approx: bool = False
+) -> DataFrame:
+    """Likewise over a written table of ``counted_values``; it is read a few times."""
+    by = list(by)
+    keys = ", ".join(by)
     positions = [f"({p!r}D * (_total - 1))" for p in probs]
     ranks = ", ".join(f"floor({at}), ceil({at})" for at in positions)
     holds_rank = f"exists(array({ranks}), r -> r >= _upto - _n AND r < _upto)"
 
-    points = points.selectExpr("*", f"{_BUCKET} AS _bucket")
-    histogram = points.groupBy(*by, "_bucket").agg(*exprs(_n="sum(_n)"))
-    wanted = (
-        histogram.selectExpr(
-            "*",
-            f"sum(_n) OVER (PARTITION BY {keys} ORDER BY _bucket {running}) AS _upto",
-            f"sum(_n) OVER (PARTITION BY {keys}) AS _total",
+    def wanted(members: DataFrame, inside: list[str], before: str) -> DataFrame:
+        """Buckets that hold a wanted rank, with what lies before them and their extremes."""
+        histogram = members.groupBy(*by, *inside, "_bucket").agg(
+            *exprs(_n="sum(_n)", _values="count(1)", _low="min(_v)", _high="max(_v)")
         )
-        .filter(holds_rank)
-        .selectExpr(*by, "_bucket", "_upto - _n AS _before", "_total")
-    )
-    # Beyond that bound both sides shuffle, and adaptive execution splits a hot bucket.
-    inside = (
-        points.join(F.broadcast(wanted) if small else wanted, [*by, "_bucket"])
-        .groupBy(*by, "_bucket", "_before", "_total", "_v")
-        .agg(*exprs(_n="sum(_n)"))
-    )
-    picked = inside.selectExpr(
-        "*", f"_before + sum(_n) OVER (PARTITION BY {keys}, _bucket ORDER BY _v {running}) AS _upto"
-    ).filter(holds_rank)
+        scope = ", ".join([*by, *inside])
+        if "_total" not in inside:
+            histogram = histogram.selectExpr("*", f"sum(_n) OVER (PARTITION BY {scope}) AS _total")
+        return (
+            histogram.selectExpr("*", f"{before} + sum(_n) OVER (PARTITION BY {scope} ORDER BY _bucket {_RUNNING}) AS _upto")
+            .filter(holds_rank)
+        )
+
+    members = counted.selectExpr(*by, "_v", "_n", f"{_LOGARITHMIC} AS _bucket")
+    found = wanted(members, [], "0")
+    if approx:
+        picked = found.selectExpr(*by, "_upto", "_low AS _v", "_total")
+    else:
+        picked = _picked(members, staged(found, "buckets"), by, fits, wanted, holds_rank)
 
     # At most two picked values per probability and group.
     gathered = picked.groupBy(*by).agg(
-        *exprs(
-            _picked="sort_array(collect_list(struct(_upto, _v)))",
-            _total="max(_total)",
-        )
+        *exprs(_picked="sort_array(collect_list(struct(_upto, _v)))", _total="max(_total)")
     )
 
     def at_rank(rank: str) -> str:
@@ -104,7 +113,10 @@ def exact_quantiles(
         for at in positions
     )
     # From the nearer neighbour, so that both ends are hit exactly.
-    between = "CASE WHEN t.t >= 0.5D THEN t.b - (t.b - t.a) * (1 - t.t) ELSE t.a + (t.b - t.a) * t.t END"
+    between = (
+        "CASE WHEN t.a = t.b THEN t.a WHEN t.t >= 0.5D THEN t.b - (t.b - t.a) * (1 - t.t) "
+        "ELSE t.a + (t.b - t.a) * t.t END"
+    )
     return gathered.selectExpr(
         *by,
         f"transform(array({neighbours}), t -> {between}) AS quantiles",
@@ -112,6 +124,40 @@ def exact_quantiles(
     )
 
 
+def _picked(members: DataFrame, found: DataFrame, by: list[str], fits: int, wanted, holds_rank: str) -> DataFrame:
+    """The values at the wanted ranks: (by, ``_upto``, ``_v``, ``_total``)."""
+    keys = ", ".join(by)
+
+    def settled(buckets: DataFrame) -> DataFrame:
+        """Buckets of one value are known without another look."""
+        return buckets.filter("_low = _high").selectExpr(*by, "_upto", "_low AS _v", "_total")
+
+    picked = settled(found)
+    while True:
+        limits = found.filter("_low < _high").selectExpr(
+            *by, "_bucket", "_upto - _n AS _before", "_total", "_low", "_high", "_values"
+        )
+        inside = members.join(limits, [*by, "_bucket"])
+        sorted_within = f"(PARTITION BY {keys}, _bucket ORDER BY _v {_RUNNING})"
+        small = inside.filter(f"_values <= {fits}")
+        small = small.selectExpr("*", f"_before + sum(_n) OVER {sorted_within} AS _upto").filter(holds_rank)
+        picked = picked.unionByName(small.select(*by, "_upto", "_v", "_total"))
+        if not (limits.agg(*exprs(most="max(_values)")).first()[0] or 0) > fits:
+            break
+        # Too full for one task: a finer histogram of that bucket alone.
+        full = inside.filter(f"_values > {fits}").withColumnRenamed("_bucket", "_outer")
+        finer = full.selectExpr(*by, "_v", "_n", "_outer", "_before", "_total", f"{_EVEN} AS _bucket")
+        finer = staged(finer, "finer")
+        found = wanted(finer, ["_outer", "_before", "_total"], "_before")
+        # Buckets of different outer ones must not meet: number them through.
+        within = "struct(_outer, _bucket)"
+        found = staged(found.selectExpr("*", f"{within} AS _place").drop("_outer", "_bucket", "_before"), "buckets")
+        found = found.withColumnRenamed("_place", "_bucket")
+        members = finer.selectExpr(*by, "_v", "_n", f"{within} AS _bucket")
+        picked = picked.unionByName(settled(found))
+    return picked
+
+
 def bin_index(value: str, edges: str) -> str:
     """Right-closed bin of a value, the lowest edge included; repeated edges count once."""
     distinct_edges = f"array_distinct({edges})"

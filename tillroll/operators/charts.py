@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exact, exprs, int_sum
+from tillroll.functions.numeric import exprs, int_sum
 from tillroll.functions.text import dollars, in_millions, in_thousands
 from tillroll.operators.profile import with_share
 from tillroll.operators.reports import (
@@ -28,7 +28,7 @@ def monthly_revenue_trend(df: DataFrame, months: int = 3) -> DataFrame:
     The window is unpartitioned on purpose: its input is one row per calendar month.
     """
     trailing = f"(ORDER BY order_year, order_month ROWS {months - 1} PRECEDING)"
-    total = f"sum({exact('total_revenue')}) OVER {trailing}"
+    total = f"sum(cast(total_revenue as decimal(28, 9))) OVER {trailing}"
     return (
         monthly_trend(df)
         .selectExpr(

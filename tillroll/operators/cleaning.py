@@ -114,7 +114,6 @@ def _fill_values(df: DataFrame) -> dict[str, Column]:
         [0.5],
         by=["of"],
         weight="n",
-        small=True,
     ).selectExpr("quantiles[0]")
 
     def most_frequent(c: str) -> Column:

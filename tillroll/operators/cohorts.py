@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.joins import HOT_PARTS, salted_left_join
 from tillroll.functions.numeric import (
-    exact,
+    amount_of,
     exprs,
     fine_avg,
+    joined,
     money_avg,
     money_sum,
+    parts,
     percent,
     rounded,
+    summed_parts,
+    units,
 )
 from tillroll.functions.text import dollars, month_label, percent_text
 from tillroll.operators.reports import delivered
@@ -41,7 +45,7 @@ def first_purchase(df: DataFrame) -> DataFrame:
     )
 
 
-def cohort_orders(df: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
+def cohort_orders(df: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Every order with its cohort month, its own month and the months between.
 
     The one row-level join here, with hot customers kept out of its shuffle.
@@ -51,7 +55,7 @@ def cohort_orders(df: DataFrame, parts: int = HOT_PARTS) -> DataFrame:
         .groupBy("customer_id")
         .agg(*exprs(cohort_date="min(order_date)", orders="count(1)"))
     )
-    joined = salted_left_join(df, customers, "customer_id", "orders", "order_id", parts)
+    joined = salted_left_join(df, customers, "customer_id", "orders", "order_id", hot_parts)
     return joined.selectExpr(
         *df.columns,
         "date_format(cohort_date, 'yyyy-MM') AS cohort_month",
@@ -69,10 +73,10 @@ def cohort_cells(df: DataFrame) -> DataFrame:
             "customer_id",
             f"{month_index('order_date')} AS month",
             f"{done} AS done",
-            f"CASE WHEN {done} THEN {exact('revenue')} END AS amount",
+            f"CASE WHEN {done} THEN revenue END AS amount",
         )
         .groupBy("customer_id", "month")
-        .agg(*exprs(done="count_if(done)", amount="coalesce(sum(amount), 0)", priced="count(amount)"))
+        .agg(*exprs(done="count_if(done)", **parts(amount="amount"), priced=f"count({units('amount')})"))
     )
     return (
         active.selectExpr("*", "min(month) OVER (PARTITION BY customer_id) AS cohort")
@@ -82,7 +86,7 @@ def cohort_cells(df: DataFrame) -> DataFrame:
             *exprs(
                 unique_customers="count(1)",
                 delivered_orders="sum(done)",
-                delivered_amount="sum(amount)",
+                **summed_parts("amount"),
                 priced_orders="sum(priced)",
             )
         )
@@ -91,7 +95,7 @@ def cohort_cells(df: DataFrame) -> DataFrame:
             "months_since_cohort",
             "unique_customers",
             "delivered_orders",
-            "delivered_amount",
+            f"{amount_of('amount')} AS delivered_amount",
             "priced_orders",
         )
     )
@@ -140,7 +144,7 @@ def retention_table_absolute(df: DataFrame, ages: Sequence[int] | None = None) -
 
 def cohort_revenue_long(df: DataFrame) -> DataFrame:
     """Delivered revenue (whole units) and order value per cohort and age."""
-    revenue = "cast(delivered_amount as double)"
+    revenue = "delivered_amount"
     return (
         cohort_cells(df)
         .filter("delivered_orders > 0")
@@ -203,8 +207,8 @@ def clv_by_segment(df: DataFrame) -> DataFrame:
         .groupBy("customer_segment", "customer_id")
         .agg(
             *exprs(
-                amount=f"sum({exact('revenue')})",
-                priced="count(revenue)",
+                **parts(amount="revenue"),
+                priced=f"count({units('revenue')})",
                 orders="count(order_id)",
                 rating="sum(cast(rint(customer_rating * 1000000D) as bigint))",
                 rated="count(customer_rating)",
@@ -217,7 +221,7 @@ def clv_by_segment(df: DataFrame) -> DataFrame:
         .distinct()
         .agg(*exprs(n="count(1)"))
     )
-    revenue = "coalesce(cast(sum(amount) as double), 0D)"
+    revenue = f"coalesce({joined('sum(amount_units)', 'sum(amount_nanos)')}, 0D)"
     return (
         per_customer.filter("customer_segment IS NOT NULL")
         .groupBy("customer_segment")
@@ -254,7 +258,7 @@ def cohort_insights(df: DataFrame) -> DataFrame:
         .groupBy("cohort_month")
         .agg(
             *exprs(
-                revenue=f"sum({rounded('cast(delivered_amount as double)', 0)})",
+                revenue=f"sum({rounded('delivered_amount', 0)})",
                 delivered="sum(delivered_orders)",
                 rate_0=f"max(CASE WHEN months_since_cohort = 0 THEN {rate} END)",
                 rate_1=f"max(CASE WHEN months_since_cohort = 1 THEN {rate} END)",

@@ -1,8 +1,8 @@
 """Price elasticity, what-if revenue, pricing advice and margins by price tier.
 
-Bins are cut per category at exact quantiles.  The detail rows are read for the
-quantiles and once more for the bins; everything after that works on a few rows per
-category.
+The orders are read once, into sums per category and price, which are written; the exact
+quantiles that bins are cut at, and the bins, come from that table, and everything after
+works on a few rows per category.  A price that a third of the orders have is one row of it.
 """
 
 from __future__ import annotations
@@ -12,25 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.joins import salted_left_join
 from tillroll.functions.numeric import (
-    exact,
+    amount_of,
     exprs,
-    fine_sum,
     int_sum,
     micro_sum,
+    parts,
     rounded,
+    summed_parts,
     whole_sum,
 )
-from tillroll.functions.quantiles import (
-    FIFTHS,
-    THIRDS,
-    bin_index,
-    exact_quantiles,
-    few_groups,
-)
+from tillroll.functions.quantiles import FIFTHS, THIRDS, bin_index, exact_quantiles
 from tillroll.functions.text import lookup, percent_text, quoted
 from tillroll.operators.reports import delivered
+from tillroll.sources.staging import staged
 
 MIN_ORDERS = 10
 DEFAULT_ELASTICITY = -1.0
@@ -48,49 +43,54 @@ STRATEGIES = [
 HIGHEST_STRATEGY = "⬆️ Raise prices - Very low elasticity, high margin potential"
 
 
-def _priced_orders(df: DataFrame) -> DataFrame:
-    return delivered(df).filter("product_category IS NOT NULL")
+# Sums that merge by addition: what they hold per price holds per bin and per category.
+_SUMS = {
+    "rows": "count(1)",
+    "orders": "count(order_id)",
+    "priced": "count(unit_price)",
+    "price_whole": whole_sum("unit_price"),
+    "price_micro": micro_sum("unit_price"),
+    "counted": "count(quantity)",
+    "quantity": int_sum("quantity"),
+    "earning": "count(revenue)",
+    "profiting": "count(profit)",
+    "discounted": "count(discount_pct)",
+    "discount_whole": whole_sum("discount_pct"),
+    "discount_micro": micro_sum("discount_pct"),
+    **parts(revenue="revenue", profit="profit"),
+}
+
+
+def by_price(df: DataFrame) -> DataFrame:
+    """Delivered orders as one row per category and price, written: all pricing reads this.
+
+    Orders without a price are a row of their category.
+    """
+    orders = delivered(df).filter("product_category IS NOT NULL")
+    keyed = orders.selectExpr("*", "cast(unit_price as double) + 0D AS price")
+    return staged(
+        keyed.groupBy("product_category", "price").agg(*exprs(**_SUMS)), "by-price"
+    )
 
 
-def _binned(df: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
-    """Sums per (category, bin of unit_price), for categories with enough orders.
+def _binned(prices: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
+    """Sums per (category, bin of price) of ``by_price`` rows, for categories with enough orders.
 
     Orders without a price have no bin but belong to their category.
     """
-    orders = _priced_orders(df)
-    # Whether the per-category frames may be broadcast is looked up, not assumed.
-    small = few_groups(df, ["product_category"])
-    edges = exact_quantiles(
-        orders, "unit_price", probs, ["product_category"], small=small, approx=approx
-    ).select("product_category", "quantiles")
-    if small:
-        edged = orders.join(F.broadcast(edges), "product_category", "left")
-    else:
-        sizes = orders.groupBy("product_category").agg(*exprs(orders="count(1)"))
-        frame = sizes.join(edges, "product_category", "left")
-        spread = "order_id, unit_price"
-        edged = salted_left_join(orders, frame, "product_category", "orders", spread)
+    edges = exact_quantiles(prices, "price", probs, ["product_category"], weight="priced", approx=approx)
+    # One row per category on one side: Spark broadcasts it if it is small, else it splits
+    # a category with very many prices.
+    edges = staged(edges.selectExpr("product_category", "quantiles"), "edges")
     return (
-        edged
-        .selectExpr("*", f"{bin_index('unit_price', 'quantiles')} AS bin")
+        prices.join(edges, "product_category", "left")
+        .selectExpr("*", f"{bin_index('price', 'quantiles')} AS bin")
         .groupBy("product_category", "bin")
         .agg(
             *exprs(
-                rows="count(1)",
-                orders="count(order_id)",
-                priced="count(unit_price)",
-                price_whole=whole_sum("unit_price"),
-                price_micro=micro_sum("unit_price"),
-                min_price="min(unit_price)",
-                max_price="max(unit_price)",
-                counted="count(quantity)",
-                quantity=int_sum("quantity"),
-                earning="count(revenue)",
-                revenue=f"coalesce(sum({exact('revenue')}), 0)",
-                profiting="count(profit)",
-                profit=f"coalesce(sum({exact('profit')}), 0)",
-                discounted="count(discount_pct)",
-                discount=fine_sum("discount_pct"),
+                **{c: f"sum({c})" for c in _SUMS},
+                min_price="min(price)",
+                max_price="max(price)",
             )
         )
         .selectExpr("*", "sum(rows) OVER (PARTITION BY product_category) AS category_rows")
@@ -106,7 +106,7 @@ _MEAN_QUANTITY = "try_divide(cast(quantity as double), counted)"
 def price_bins(df: DataFrame, approx: bool = False) -> DataFrame:
     """Mean price and quantities per category and fifth of its prices."""
     return (
-        _binned(df, FIFTHS, approx)
+        _binned(by_price(df), FIFTHS, approx)
         .filter("bin IS NOT NULL")
         .selectExpr(
             "category",
@@ -120,15 +120,15 @@ def price_bins(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def _categories(df: DataFrame, approx: bool) -> DataFrame:
-    """One row per category: its facts, and the fitted ``slope`` and ``r2`` or null.
+def _categories(prices: DataFrame, approx: bool) -> DataFrame:
+    """One row per category of ``by_price`` rows: its facts, and the fitted ``slope`` and ``r2`` or null.
 
     The fit is over the logs of the bins' mean price and mean quantity.
     """
     x, y = f"ln({_MEAN_PRICE})", f"ln({_MEAN_QUANTITY})"
     usable = f"bin IS NOT NULL AND {_MEAN_PRICE} > 0 AND {_MEAN_QUANTITY} > 0"
     return (
-        _binned(df, FIFTHS, approx)
+        _binned(prices, FIFTHS, approx)
         .selectExpr(
             "*",
             f"CASE WHEN {usable} THEN {x} END AS x",
@@ -142,7 +142,7 @@ def _categories(df: DataFrame, approx: bool) -> DataFrame:
                 priced="sum(priced)",
                 counted="sum(counted)",
                 quantity="sum(quantity)",
-                revenue="cast(sum(revenue) as double)",
+                **summed_parts("revenue"),
                 min_price="min(min_price)",
                 max_price="max(max_price)",
                 points="count(x)",
@@ -155,7 +155,7 @@ def _categories(df: DataFrame, approx: bool) -> DataFrame:
             f"{_MEAN_PRICE} AS avg_price",
             f"{_MEAN_QUANTITY} AS avg_quantity",
             "quantity",
-            "revenue",
+            f"{amount_of('revenue')} AS revenue",
             "min_price",
             "max_price",
             "CASE WHEN points >= 2 THEN slope END AS slope",
@@ -167,7 +167,7 @@ def _categories(df: DataFrame, approx: bool) -> DataFrame:
 def elasticity_by_category(df: DataFrame, approx: bool = False) -> DataFrame:
     """Slope of log quantity on log price over the price bins; most elastic first."""
     return (
-        _categories(df, approx)
+        _categories(by_price(df), approx)
         .filter("slope IS NOT NULL")
         .selectExpr(
             "category",
@@ -220,7 +220,7 @@ def _scenarios(categories: DataFrame) -> DataFrame:
 
 def revenue_at_price_points(df: DataFrame, approx: bool = False) -> DataFrame:
     """Expected revenue of every category at 80 to 120 % of its mean price."""
-    scenarios = _scenarios(_categories(df, approx)).drop("elasticity")
+    scenarios = _scenarios(_categories(by_price(df), approx)).drop("elasticity")
     return scenarios.orderBy("category", "scenario_no")
 
 
@@ -232,7 +232,7 @@ def optimal_pricing(df: DataFrame, approx: bool = False) -> DataFrame:
     )
     bands = " ".join(f"WHEN best.elasticity < {b}D THEN {quoted(s)}" for b, s in STRATEGIES)
     return (
-        _scenarios(_categories(df, approx).filter("slope IS NOT NULL"))
+        _scenarios(_categories(by_price(df), approx).filter("slope IS NOT NULL"))
         .groupBy("category")
         # The earliest scenario wins a tie.
         .agg(*exprs(best=f"max_by({outcome}, struct(revenue_change_pct, -scenario_no))"))
@@ -257,9 +257,9 @@ def pricing_strategies(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def margin_by_price_tier(df: DataFrame, approx: bool = False) -> DataFrame:
     """Price, revenue, profit and margin of every category's price thirds."""
-    revenue, profit = "cast(revenue as double)", "cast(profit as double)"
+    revenue, profit = amount_of("revenue"), amount_of("profit")
     return (
-        _binned(df, THIRDS, approx)
+        _binned(by_price(df), THIRDS, approx)
         .filter("bin IS NOT NULL")
         .selectExpr(
             "category",
@@ -268,10 +268,10 @@ def margin_by_price_tier(df: DataFrame, approx: bool = False) -> DataFrame:
             f"{_MEAN_PRICE} AS avg_price",
             f"try_divide({revenue}, earning) AS avg_revenue",
             f"try_divide({profit}, profiting) AS avg_profit",
-            f"CASE WHEN revenue > 0 THEN ({profit}) / ({revenue}) * 100 ELSE 0D END"
+            f"CASE WHEN {revenue} > 0 THEN ({profit}) / ({revenue}) * 100 ELSE 0D END"
             " AS profit_margin_pct",
             "orders AS order_count",
-            "try_divide(discount, discounted) AS avg_discount",
+            "try_divide(discount_whole + discount_micro / 1000000D, discounted) AS avg_discount",
         )
         .orderBy("category", "tier_no")
     )

@@ -11,15 +11,15 @@ from tillroll.functions.numeric import (
     exprs,
     fine_avg,
     int_avg,
-    kurtosis_corrected,
+    kurtosis_of_moments,
     money_avg,
     money_sum,
     pearson,
     percent,
     rounded,
-    skew_corrected,
+    skew_of_moments,
 )
-from tillroll.functions.quantiles import exact_quantiles
+from tillroll.functions.quantiles import counted_values, quantiles_of_counted
 from tillroll.functions.text import dollars, lookup, month_label, percent_text
 from tillroll.schema import (
     CANCELLED,
@@ -28,6 +28,7 @@ from tillroll.schema import (
     DESCRIBED_COLUMNS,
     RETURNED,
 )
+from tillroll.sources.staging import staged
 
 # Upper ends and names of the discount buckets (right-closed, above -1).
 DISCOUNT_FLOOR = -1
@@ -75,37 +76,54 @@ def describe_numbers(
 ) -> DataFrame:
     """Count, mean, std, extremes and percentiles as ``(column_name, stat_no, stat, value)``.
 
-    ``shape`` adds skewness and kurtosis.  The columns are rows of one long frame: a single
-    aggregate over all of them side by side would have too many buffers for generated code.
-    The percentiles are found without bringing a column's values together.
+    ``shape`` adds skewness and kurtosis.  The table is read once, into the distinct values of
+    each column and how often they occur; moments and percentiles come from those, written.
     """
     columns = columns or DESCRIBED_COLUMNS
     percentiles = percentiles or SUMMARY_PERCENTILES
-    values = _long_form(df, columns)
+    counted = staged(counted_values(_long_form(df, columns), "value", ["column_name"]), "values")
+    fraction = "cast(rint((_v - floor(_v)) * 1000000D) as bigint)"
+    listed = ", ".join(f"'{c}'" for c in columns)
+    named = df.sparkSession.range(1).selectExpr(f"explode(array({listed})) AS column_name")
+    base = counted.groupBy("column_name").agg(
+        *exprs(
+            n="sum(_n)",
+            whole="sum(floor(_v) * cast(_n as double))",
+            micro=f"sum(CASE WHEN abs(_v) < 1e15 THEN {fraction} * _n ELSE 0 END)",
+            low="min(_v)",
+            high="max(_v)",
+        )
+    )
+    base = base.selectExpr("*", "(whole + micro / 1000000D) / n AS mean")
+    away = counted.join(base.selectExpr("column_name", "mean"), "column_name")
+    powers = away.groupBy("column_name").agg(
+        *exprs(**{f"m{k}": f"sum(_n * pow(_v - mean, {k}))" for k in (2, 3, 4)})
+    )
     moments = {
-        "count": "cast(count(value) as double)",
-        "mean": fine_avg("value"),
-        "std": "stddev_samp(value)",
-        "min": "min(value)",
-        "max": "max(value)",
+        "count": "coalesce(cast(n as double), 0D)",
+        "mean": "mean",
+        "std": "CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) END",
+        "min": "low",
+        "max": "high",
     }
     if shape:
-        moments |= {"skew": skew_corrected("value"), "kurtosis": kurtosis_corrected("value")}
+        moments |= {
+            "skew": skew_of_moments("n", "m2", "m3", "low", "high"),
+            "kurtosis": kurtosis_of_moments("n", "m2", "m4", "low", "high"),
+        }
     names = [_percentile_name(p) for p in percentiles]
     order = ["count", "mean", "std", "min", *names, "max", "skew", "kurtosis"]
 
-    cells = [f"{order.index(stat)}, '{stat}', `{stat}`" for stat in moments]
+    cells = [f"{order.index(stat)}, '{stat}', {sql}" for stat, sql in moments.items()]
     measured = (
-        values.groupBy("column_name")
-        .agg(*exprs(**moments))
+        named.join(base, "column_name", "left")
+        .join(powers, "column_name", "left")
         .selectExpr(
             "column_name", f"stack({len(cells)}, {', '.join(cells)}) AS (stat_no, stat, value)"
         )
     )
 
-    quantiles = exact_quantiles(
-        values, "value", percentiles, ["column_name"], small=True, approx=approx
-    )
+    quantiles = quantiles_of_counted(counted, percentiles, ["column_name"], approx=approx)
     cells = [f"{order.index(name)}, '{name}', quantiles[{i}]" for i, name in enumerate(names)]
     found = quantiles.selectExpr(
         "column_name", f"stack({len(cells)}, {', '.join(cells)}) AS (stat_no, stat, value)"
@@ -123,6 +141,7 @@ def summary_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe_dates(df: DataFrame, column: str = "order_date") -> DataFrame:
     """Count, mean, extremes and percentiles of a date, as ``(stat_no, stat, value)`` text."""
     days = df.selectExpr(f"'{column}' AS column_name", f"unix_date({column}) AS day")
+    days = staged(counted_values(days, "day", ["column_name"]), "days")
 
     def moment(day: str) -> str:
         # By hand: a timestamp would be shown in the session's time zone.
@@ -134,11 +153,16 @@ def describe_dates(df: DataFrame, column: str = "order_date") -> DataFrame:
 
     names = [_percentile_name(p) for p in SUMMARY_PERCENTILES]
     cells = [f"{3 + i}, '{name}', {moment(f'quantiles[{i}]')}" for i, name in enumerate(names)]
-    found = exact_quantiles(
-        days, "day", SUMMARY_PERCENTILES, ["column_name"], small=True
-    ).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (stat_no, stat, value)")
+    found = quantiles_of_counted(days, SUMMARY_PERCENTILES, ["column_name"]).selectExpr(
+        f"stack({len(cells)}, {', '.join(cells)}) AS (stat_no, stat, value)"
+    )
     ends = days.agg(
-        *exprs(n="count(day)", mean=int_avg("day"), low="min(day)", high="max(day)")
+        *exprs(
+            n="coalesce(sum(_n), 0)",
+            mean="try_divide(cast(sum(cast(_v as bigint) * _n) as double), sum(_n))",
+            low="cast(min(_v) as bigint)",
+            high="cast(max(_v) as bigint)",
+        )
     ).selectExpr(
         f"stack(4, 0, 'count', cast(n as string), 1, 'mean', {moment('mean')}, 2, 'min', "
         f"{moment('low')}, {3 + len(names)}, 'max', {moment('high')}) AS (stat_no, stat, value)"
