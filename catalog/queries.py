@@ -30,6 +30,19 @@ FIRST_DATE, LAST_DATE = "1995-01-01", "2001-12-31"
 
 MONTH = ["order_year", "order_month"]
 COHORT = ["customer_id", "order_date", "order_status", "revenue"]
+SUMMARISED = [*MONTH, "order_id", "order_status", "region", "product_category", "revenue", "profit"]
+ANSWERED = [
+    "order_year",
+    "order_id",
+    "order_status",
+    "region",
+    "product_category",
+    "customer_segment",
+    "payment_method",
+    "discount_pct",
+    "revenue",
+    "profit",
+]
 PRICED = [
     "order_id",
     "product_category",
@@ -42,6 +55,9 @@ PRICED = [
 ]
 
 
+FOUND = list(dict.fromkeys([*ANSWERED, *PRICED, *COHORT, "customer_rating"]))
+
+
 def over_sales(operator: Callable[..., DataFrame], columns: list[str] | None = None, **options):
     """An operator over the sales view, reading no more than the columns it uses."""
     return lambda spark, sf_dir: operator(sales(spark, sf_dir, columns), **options)
@@ -140,7 +156,7 @@ QUERIES: dict[str, Query] = {
     "top_payment": over_sales(reports.top_payment, _payment),
     "discount_erosion": over_sales(reports.discount_erosion, _discount),
     "worst_return_category": over_sales(reports.worst_return_category, _returns),
-    "business_answers": over_table(reports.business_answers, **_named_segments),
+    "business_answers": over_sales(reports.business_answers, ANSWERED, **_named_segments),
     # Data quality and summaries
     "raw_profile": over_raw(profile.raw_profile),
     "null_report": over_raw(profile.null_report),
@@ -155,7 +171,7 @@ QUERIES: dict[str, Query] = {
     "revenue_corr_top3": over_sales(profile.revenue_correlations, _numbers),
     "overall_rates": over_sales(profile.overall_rates, ["order_status"]),
     "peak_low_month": over_sales(profile.peak_and_low_month, _trend),
-    "summary_metrics": over_table(profile.summary_metrics),
+    "summary_metrics": over_sales(profile.summary_metrics, SUMMARISED),
     # Chart data
     "monthly_ma3": over_sales(charts.monthly_revenue_trend, _trend),
     "chart_category": over_sales(charts.category_bars, _category),
@@ -218,12 +234,13 @@ QUERIES: dict[str, Query] = {
     "synth_orders": synthetic,
     # Findings
     "insights_table": over_table(
-        lambda df, **o: insights.insights_table(*insights.findings(df, **o)), **_named_segments
+        lambda df, **o: insights.insights_table(*insights.findings(df, **o)), FOUND, **_named_segments
     ),
     "report_lines": over_table(
         lambda df, **o: insights.report_lines(*insights.findings(df, **o)).selectExpr(
             "line_no.ord AS part_no", "line_no.head AS heading", "line_no.pos AS pos", "line"
         ),
+        FOUND,
         **_named_segments,
     ),
 }

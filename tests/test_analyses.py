@@ -299,3 +299,64 @@ def test_any_number_of_categories_takes_one_path(spark, orders):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["category"] for r in expected} == {"Hot", *(f"C{i}" for i in range(300))}
+
+
+def scans_of(spark, monkeypatch, module, run, path):
+    """How often ``path`` is scanned by what ``run`` stages and by its result."""
+    plans, plain = [], module.staged
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(module, "staged", watched)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    result = run()
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    monkeypatch.setattr(module, "staged", plain)
+    return sum(line.count("FileScan") for plan in plans for line in plan.splitlines() if path in line), result
+
+
+def test_answers_and_summary_read_the_table_once(spark, orders, tmp_path, monkeypatch):
+    rows = [
+        {
+            "product_category": f"C{i % 5}", "region": ["West", "East", None][i % 3], "payment_method": f"P{i % 4}",
+            "customer_segment": ["Premium", "Regular"][i % 2], "discount_pct": float(i % 31), "revenue": i * 1.25,
+            "profit": i * 0.25, "order_date": date(2022 + i % 3, 1 + i % 12, 1),
+            "order_status": ["Delivered", "Delivered", "Returned", "Cancelled"][i % 4],
+        }
+        for i in range(400)
+    ]
+    orders(*rows).write.parquet(str(tmp_path / "orders-once"))
+    df = spark.read.parquet(str(tmp_path / "orders-once"))
+    for run in (lambda: reports.business_answers(df), lambda: profile.summary_metrics(df)):
+        scans, _ = scans_of(spark, monkeypatch, reports, run, "orders-once")
+        assert scans == 1
+    answers = {r["metric"]: r["value_str"] or r["value_num"] for r in rows_of(reports.business_answers(df))}
+    growth, (region,) = rows_of(reports.yearly_growth(df))[0], rows_of(reports.top_region(df))
+    (payment,), (worst,) = rows_of(reports.top_payment(df)), rows_of(reports.worst_return_category(df))
+    assert answers["growth_pct"] == growth["growth_pct"] and answers["first_revenue"] == growth["first_revenue"]
+    assert answers["top_region"] == region["region"] and answers["total_revenue"] == region["total_revenue"]
+    assert answers["top_payment"] == payment["payment_method"]
+    assert answers["worst_category"] == worst["product_category"]
+    assert answers["last_margin"] == rows_of(reports.discount_erosion(df))[0]["last_margin"]
+    empty = profile.summary_metrics(df.limit(0)).collect()
+    assert len(empty) == 10 and empty[0]["value_num"] == 0.0
+
+
+def test_statistics_read_the_table_once(spark, orders, tmp_path, monkeypatch):
+    rows = [{"unit_price": float(i), "quantity": i % 4, "revenue": i * 1.5} for i in range(50)]
+    orders(*rows).write.parquet(str(tmp_path / "orders-once"))
+    df = spark.read.parquet(str(tmp_path / "orders-once"))
+    scans, found = scans_of(spark, monkeypatch, reports, lambda: reports.summary_statistics(df), "orders-once")
+    assert scans == 1
+    got = {(r["column_name"], r["stat"]): r["value"] for r in found.collect()}
+    expected = df.toPandas()["revenue"]
+    assert got["revenue", "std"] == round(expected.std(), 2) and got["revenue", "skew"] == round(expected.skew(), 2)
+    assert got["quantity", "kurtosis"] == round(df.toPandas()["quantity"].kurt(), 2)
+    assert got["cost", "count"] == 50 and got["cost", "skew"] == 0.0
+    blank = reports.describe_numbers(df.selectExpr("cast(null as double) AS x"), ["x"]).collect()
+    assert {r["stat"]: r["value"] for r in blank} == {
+        "count": 0.0, "mean": None, "std": None, "min": None, "max": None, "skew": None, "kurtosis": None
+    }

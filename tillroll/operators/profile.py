@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exprs, money_avg, money_sum, percent, rounded
+from tillroll.functions.numeric import amount_of, exprs, joined, percent, rounded, summed_parts
 from tillroll.functions.text import dollars, percent_text
 from tillroll.operators.cleaning import CHECKED_COLUMNS
 from tillroll.operators.reports import (
     QUARTILES,
     correlation_pairs,
     describe_numbers,
+    grouped_once,
+    groups_of,
     monthly_trend,
     payment_analysis,
     revenue_by_category,
@@ -179,39 +181,35 @@ def peak_and_low_month(df: DataFrame) -> DataFrame:
 
 
 def summary_metrics(df: DataFrame) -> DataFrame:
-    """Ten headline values: ``(metric_no, metric, value_num, value_str)``.
+    """Ten headline values: ``(metric_no, metric, value_num, value_str)``, from one scan.
 
     ``value_str`` is the display text; ``value_num`` the number under it, if any.
     """
-    revenue = f"CASE WHEN order_status = '{DELIVERED}' THEN revenue END"
-    profit = f"CASE WHEN order_status = '{DELIVERED}' THEN profit END"
+    groups = grouped_once(df, ["all", "month", "region", "category"])
 
-    def leading(report: DataFrame, key: str):
-        first = f"min_by({key}, struct(-total_revenue, {key}))"
-        return report.agg(*exprs(leader=first)).scalar()
+    def leading(kind: str, order: str):
+        report = groups_of(groups, kind, "name")
+        return report.agg(*exprs(leader=f"min_by(name, struct({order}, name))")).scalar()
 
+    counts = ("rows", "earning", "returned_rows", "cancelled_rows")
     totals = (
-        df.agg(
-            *exprs(
-                orders="count(1)",
-                revenue=money_sum(revenue),
-                aov=rounded(money_avg(revenue)),
-                profit=money_sum(profit),
-                returned=f"count_if(order_status = '{RETURNED}')",
-                cancelled=f"count_if(order_status = '{CANCELLED}')",
-            )
-        )
+        groups.filter("kind = 'all'")
+        # One row, for an empty table too.
+        .agg(*exprs(**{c: f"coalesce(sum({c}), 0)" for c in counts}, **summed_parts("revenue", "profit")))
         .selectExpr(
-            "*",
-            f"{rounded(percent('profit', 'revenue'), 1)} AS margin",
-            f"{rounded(percent('returned', 'orders'))} AS return_pct",
-            f"{rounded(percent('cancelled', 'orders'))} AS cancel_pct",
+            "rows AS orders",
+            f"{amount_of('revenue')} AS revenue",
+            f"{rounded(f'try_divide({joined("revenue_units", "revenue_nanos")}, earning)')} AS aov",
+            f"{amount_of('profit')} AS profit",
+            f"{rounded(percent(amount_of('profit'), amount_of('revenue')), 1)} AS margin",
+            f"{rounded(percent('returned_rows', 'rows'))} AS return_pct",
+            f"{rounded(percent('cancelled_rows', 'rows'))} AS cancel_pct",
         )
         .withColumns(
             {
-                "top_region": leading(revenue_by_region(df), "region"),
-                "top_category": leading(revenue_by_category(df), "product_category"),
-                "peak_month": peak_and_low_month(df).select("peak_month").scalar(),
+                "top_region": leading("region", "-total_revenue"),
+                "top_category": leading("category", "-total_revenue"),
+                "peak_month": leading("month", "-total_revenue"),
             }
         )
     )

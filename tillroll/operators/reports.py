@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import (
+    amount_of,
     exprs,
     fine_avg,
     int_avg,
+    joined,
     kurtosis_of_moments,
+    micro_sum,
     money_avg,
     money_sum,
+    parts,
     pearson,
     percent,
     rounded,
     skew_of_moments,
+    units,
+    whole_sum,
 )
 from tillroll.functions.quantiles import counted_values, quantiles_of_counted
 from tillroll.functions.text import dollars, lookup, month_label, percent_text
@@ -386,6 +392,94 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     )
 
 
+# Several groupings in one scan
+
+# What each kind of grouping goes by; a row without one of its labels belongs to no group.
+GROUPINGS = {
+    "all": [],
+    "year": ["order_year"],
+    "month": ["order_year", "order_month"],
+    "category": ["product_category"],
+    "region": ["region"],
+    "segment": ["customer_segment"],
+    "payment": ["payment_method"],
+    "discount": ["bucket_no"],
+}
+
+
+def grouped_once(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """Groups of several kinds from one scan, written: ``(kind, label, rows, delivered, ...)``.
+
+    One aggregate over grouping sets.  ``label`` is the group as text (a month as ``2024-05``).
+    Amounts are there as parts and can be added on.
+    """
+    columns = list(dict.fromkeys(c for kind in kinds for c in GROUPINGS[kind]))
+    done = f"order_status = '{DELIVERED}'"
+    margin = "CASE WHEN revenue > 0 THEN profit / revenue * 100 ELSE 0D END"
+    # Only what a measure of one of the kinds reads is asked of the table.
+    buckets = f"CASE WHEN {done} THEN {discount_bucket_number('discount_pct')} END AS bucket_no"
+    keyed = df.selectExpr(
+        *[buckets if c == "bucket_no" else c for c in columns],
+        "order_id",
+        "order_status",
+        f"{done} AS done",
+        f"CASE WHEN {done} THEN revenue END AS revenue",
+        f"CASE WHEN {done} THEN profit END AS profit",
+        f"CASE WHEN {done} THEN {margin} END AS margin",
+    )
+
+    def having(status: str) -> str:
+        return f"count(CASE WHEN order_status = '{status}' THEN order_id END)"
+
+    measures = {
+        "rows": "count(1)",
+        "ids": "count(order_id)",
+        "delivered": "count_if(done)",
+        "orders": "count(CASE WHEN done THEN order_id END)",
+        "returned": having(RETURNED),
+        "cancelled": having(CANCELLED),
+        "returned_rows": f"count_if(order_status = '{RETURNED}')",
+        "cancelled_rows": f"count_if(order_status = '{CANCELLED}')",
+        "earning": f"count({units('revenue')})",
+        **parts(revenue="revenue", profit="profit"),
+        "margins": "count(margin)",
+        "margin_whole": whole_sum("margin"),
+        "margin_micro": micro_sum("margin"),
+    }
+    sets = [[F.col(c) for c in GROUPINGS[kind]] for kind in kinds]
+    grouped = keyed.groupingSets(sets, *columns).agg(
+        *[F.grouping(c).alias(f"_{c}") for c in columns], *exprs(**measures)
+    )
+    own = {
+        kind: " AND ".join(f"_{c} = {int(c not in GROUPINGS[kind])}" for c in columns) or "true" for kind in kinds
+    }
+    texts = {
+        kind: month_label("order_year", "order_month") if kind == "month" else f"cast({GROUPINGS[kind][0]} as string)"
+        for kind in kinds
+        if GROUPINGS[kind]
+    }
+    named = " ".join(f"WHEN {sql} THEN '{kind}'" for kind, sql in own.items())
+    shown = " ".join(f"WHEN {own[kind]} THEN {sql}" for kind, sql in texts.items())
+    whole = " ".join(
+        f"WHEN {own[kind]} THEN " + (" AND ".join(f"{c} IS NOT NULL" for c in GROUPINGS[kind]) or "true") for kind in kinds
+    )
+    found = grouped.filter(f"CASE {whole} END").selectExpr(
+        f"CASE {named} END AS kind", f"CASE {shown} END AS label" if shown else "cast(null as string) AS label", *measures
+    )
+    return staged(found, "groups")
+
+
+def groups_of(groups: DataFrame, kind: str, key: str, kind_of_key: str = "string") -> DataFrame:
+    """One kind of ``grouped_once`` as a report of delivered orders, with its usual measures."""
+    revenue = amount_of("revenue")
+    return groups.filter(f"kind = '{kind}' AND delivered > 0").selectExpr(
+        f"cast(label as {kind_of_key}) AS {key}",
+        f"{revenue} AS total_revenue",
+        f"{rounded(f'try_divide({joined("revenue_units", "revenue_nanos")}, earning)')} AS avg_order_value",
+        "orders AS total_orders",
+    )
+
+
 # Business questions
 
 
@@ -395,24 +489,31 @@ def yearly_growth(df: DataFrame) -> DataFrame:
         delivered(df)
         .filter("order_year IS NOT NULL")
         .groupBy("order_year")
-        .agg(*exprs(revenue=money_sum("revenue")))
+        .agg(*exprs(total_revenue=money_sum("revenue")))
     )
+    return _growth(yearly)
+
+
+def _growth(yearly: DataFrame) -> DataFrame:
     growth = "try_divide(last_revenue - first_revenue, first_revenue) * 100"
     return yearly.agg(
         *exprs(
             first_year="min(order_year)",
-            first_revenue="min_by(revenue, order_year)",
+            first_revenue="min_by(total_revenue, order_year)",
             last_year="max(order_year)",
-            last_revenue="max_by(revenue, order_year)",
+            last_revenue="max_by(total_revenue, order_year)",
         )
     ).selectExpr("*", f"{rounded(growth, 1)} AS growth_pct")
 
 
 def top_categories(df: DataFrame, n: int = 2) -> DataFrame:
     """The leading categories by revenue, ranked."""
+    return _leading(revenue_by_category(df), n)
+
+
+def _leading(report: DataFrame, n: int) -> DataFrame:
     best = (
-        revenue_by_category(df)
-        .select("product_category", "total_revenue")
+        report.select("product_category", "total_revenue")
         .orderBy(F.desc("total_revenue"), "product_category")
         .limit(n)
     )
@@ -426,49 +527,54 @@ def top_categories(df: DataFrame, n: int = 2) -> DataFrame:
 
 
 def top_region(df: DataFrame) -> DataFrame:
-    best = revenue_by_region(df).orderBy(F.desc("total_revenue"), "region").limit(1)
-    return best.select("region", "total_revenue", "avg_order_value")
+    return _best(revenue_by_region(df), "region", "total_revenue").select(
+        "region", "total_revenue", "avg_order_value"
+    )
+
+
+def _best(report: DataFrame, key: str, measure: str) -> DataFrame:
+    return report.orderBy(F.desc(measure), key).limit(1)
 
 
 def segment_insight(
     df: DataFrame, high_value: str = "Premium", high_volume: str = "Regular"
 ) -> DataFrame:
     """Order value and order count of two named segments."""
+    return _named_segments(revenue_by_segment(df), high_value, high_volume)
+
+
+def _named_segments(report: DataFrame, high_value: str, high_volume: str) -> DataFrame:
     segment = F.col("customer_segment")
-    return (
-        revenue_by_segment(df)
-        .filter(segment.isin(high_value, high_volume))
-        .select(
-            F.when(segment == high_value, "high_value").otherwise("high_volume").alias("role"),
-            "customer_segment",
-            "avg_order_value",
-            "total_orders",
-        )
+    return report.filter(segment.isin(high_value, high_volume)).select(
+        F.when(segment == high_value, "high_value").otherwise("high_volume").alias("role"),
+        "customer_segment",
+        "avg_order_value",
+        "total_orders",
     )
 
 
 def top_payment(df: DataFrame) -> DataFrame:
-    best = payment_analysis(df).orderBy(F.desc("avg_order_value"), "payment_method").limit(1)
+    best = _best(payment_analysis(df), "payment_method", "avg_order_value")
     return best.select("payment_method", "avg_order_value")
 
 
 def discount_erosion(df: DataFrame) -> DataFrame:
     """Margin of the lowest and the highest discount bucket and the drop between them."""
-    return (
-        discount_vs_profit(df)
-        .agg(
-            *exprs(
-                first_margin="min_by(avg_profit_margin, bucket_no)",
-                last_margin="max_by(avg_profit_margin, bucket_no)",
-            )
+    return _erosion(discount_vs_profit(df))
+
+
+def _erosion(report: DataFrame) -> DataFrame:
+    return report.agg(
+        *exprs(
+            first_margin="min_by(avg_profit_margin, bucket_no)",
+            last_margin="max_by(avg_profit_margin, bucket_no)",
         )
-        .selectExpr("*", f"{rounded('first_margin - last_margin', 1)} AS margin_drop")
-    )
+    ).selectExpr("*", f"{rounded('first_margin - last_margin', 1)} AS margin_drop")
 
 
 def worst_return_category(df: DataFrame) -> DataFrame:
-    best = return_rate_by_category(df).orderBy(F.desc("return_rate_pct"), "product_category")
-    return best.limit(1).select("product_category", "return_rate_pct")
+    best = _best(return_rate_by_category(df), "product_category", "return_rate_pct")
+    return best.select("product_category", "return_rate_pct")
 
 
 def _answers(question_no: int, frame: DataFrame, text: dict[str, str], number: dict[str, str]):
@@ -484,15 +590,32 @@ def _answers(question_no: int, frame: DataFrame, text: dict[str, str], number: d
 def business_answers(
     df: DataFrame, high_value: str = "Premium", high_volume: str = "Regular"
 ) -> DataFrame:
-    """The computed values behind the seven business questions, as rows."""
-    ranked = top_categories(df).agg(
+    """The computed values behind the seven business questions, as rows.
+
+    All groupings come from one scan; the answers are found in the few groups it leaves.
+    """
+    groups = grouped_once(df, ["year", "category", "region", "segment", "payment", "discount"])
+    categories = groups_of(groups, "category", "product_category")
+    years = groups_of(groups, "year", "order_year", "int")
+    regions = groups_of(groups, "region", "region")
+    payments = groups_of(groups, "payment", "payment_method")
+    margin = rounded("try_divide(margin_whole + margin_micro / 1000000D, margins)")
+    discounts = groups.filter("kind = 'discount'").selectExpr(
+        "cast(label as int) AS bucket_no", f"{margin} AS avg_profit_margin"
+    )
+    returns = groups.filter("kind = 'category'").selectExpr(
+        "label AS product_category", f"{rounded(percent('returned', 'ids'))} AS return_rate_pct"
+    )
+    ranked = _leading(categories, 2).agg(
         *exprs(
             top="min_by(product_category, rank)",
             top_revenue="max(total_revenue)",
             second="max(CASE WHEN rank = 2 THEN product_category END)",
         )
     )
-    segments = segment_insight(df, high_value, high_volume).agg(
+    segments = _named_segments(
+        groups_of(groups, "segment", "customer_segment"), high_value, high_volume
+    ).agg(
         *exprs(
             **{
                 f"{role}_{c}": f"max(CASE WHEN role = '{role}' THEN {c} END)"
@@ -501,9 +624,9 @@ def business_answers(
             }
         )
     )
-    years = ["first_year", "first_revenue", "last_year", "last_revenue", "growth_pct"]
-    parts = [
-        _answers(1, yearly_growth(df), {}, {c: c for c in years}),
+    growth = ["first_year", "first_revenue", "last_year", "last_revenue", "growth_pct"]
+    answers = [
+        _answers(1, _growth(years), {}, {c: c for c in growth}),
         _answers(
             2,
             ranked,
@@ -512,7 +635,7 @@ def business_answers(
         ),
         _answers(
             3,
-            top_region(df),
+            _best(regions, "region", "total_revenue"),
             {"top_region": "region"},
             {"total_revenue": "total_revenue", "avg_order_value": "avg_order_value"},
         ),
@@ -531,26 +654,26 @@ def business_answers(
         ),
         _answers(
             5,
-            top_payment(df),
+            _best(payments, "payment_method", "avg_order_value"),
             {"top_payment": "payment_method"},
             {"avg_order_value": "avg_order_value"},
         ),
         _answers(
             6,
-            discount_erosion(df),
+            _erosion(discounts),
             {},
             {"first_margin": "first_margin", "last_margin": "last_margin"},
         ),
         _answers(
             7,
-            worst_return_category(df),
+            _best(returns, "product_category", "return_rate_pct"),
             {"worst_category": "product_category"},
             {"return_rate_pct": "return_rate_pct"},
         ),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = answers[0]
+    for answer in answers[1:]:
+        out = out.unionByName(answer)
     return out
 
 
