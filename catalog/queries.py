@@ -228,7 +228,9 @@ QUERIES: dict[str, Query] = {
         after(cleaning.fix_data_types, cleaning.handle_negative_revenue)
     ),
     "time_features": over_raw(after(cleaning.fix_data_types, cleaning.add_time_features)),
-    "cleaning_metrics": over_raw_table(cleaning.cleaning_metrics),
+    "cleaning_metrics": over_raw(
+        cleaning.cleaning_metrics, first_date=FIRST_DATE, last_date=LAST_DATE
+    ),
     "validate": over_raw(validated),
     "clean_sales": over_raw(cleaning.clean),
     "synth_orders": synthetic,

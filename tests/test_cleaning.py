@@ -128,6 +128,32 @@ def test_duplicates_go_before_signs_so_flipped_copies_stay(raw):
     assert metrics["save", "rows"] == 2 and metrics["save", "columns"] == 22
 
 
+def test_the_log_counts_what_each_step_did(spark, raw, tmp_path, monkeypatch):
+    """The counts come with the two writes of cleaning itself."""
+    df = raw(
+        {"revenue": "12d", "region": "WEST"},
+        {"order_date": "2022-13-01", "region": " west"},
+        {"customer_rating": "abc", "product_category": "nan", "cost": "1e400"},
+        {"quantity": "1.5", "region": None, "revenue": "1e18"},
+        {"order_id": "ORD-0", "revenue": "-4"},
+    )
+    df = df.unionByName(df.filter("order_id = 'ORD-0'"))
+    df.write.parquet(str(tmp_path / "raw-once"))
+    df, log = spark.read.parquet(str(tmp_path / "raw-once")), c.CleaningLog()
+    writes, plain = [], c.staged
+    monkeypatch.setattr(c, "staged", lambda frame, name: writes.append(name) or plain(frame, name))
+    cleaned = c.clean(df, log)
+    files.write_parquet(cleaned, str(tmp_path / "clean"))
+    assert writes == ["typed", "label-counts"]
+    got = {r["metric"]: r["value"] for r in rows_of(log.metrics(spark)) if r["step_no"] not in (1, 9)}
+    assert got["emptied_cells"] == 5 and got["emptied_revenue"] == got["emptied_order_date"] == 1
+    assert got["emptied_cost"] == got["emptied_customer_rating"] == got["emptied_quantity"] == 1
+    assert got["changed_labels"] == 2 and got["emptied_labels"] == 1
+    assert got["dropped_rows"] == 2 and got["zeroed_rows"] == 1
+    assert got["required_checks"] == 5 and got["required_passed"] == 4  # a category is missing
+    assert sorted(r["revenue"] for r in rows_of(files.read_parquet(spark, str(tmp_path / "clean")))) == [0.0, 10.0, 1e18]
+
+
 def test_validation(orders):
     good = c.validate(orders({}, {"order_id": "ORD-0"}))
     passed = {r["check_name"]: r["passed"] for r in rows_of(good)}

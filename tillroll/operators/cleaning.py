@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exprs, percent, rounded
-from tillroll.functions.quantiles import exact_quantiles
+from tillroll.functions.numeric import exprs
 from tillroll.functions.text import quoted, title_case
 from tillroll.schema import AMOUNT_COLUMNS, LABEL_COLUMNS
 from tillroll.sources.staging import staged
@@ -41,6 +40,58 @@ TIME_FEATURES = {
 }
 
 
+class CleaningLog:
+    """What each step did, counted while its result is written: no scan is made for it.
+
+    Hand one to ``clean``; ``metrics`` has the counts once the cleaned table was written.  (Tasks
+    that ran again after an executor was lost may count their rows twice; the table is right.)
+    """
+
+    def __init__(self) -> None:
+        self.read, self.once = Observation("read"), Observation("once")
+        self.typed, self.filled, self.saved = Observation("typed"), Observation("filled"), Observation("saved")
+        self.columns: list[str] = []
+
+    def metrics(
+        self, spark: SparkSession, first_date: str = "2022-01-01", last_date: str = "2024-12-31"
+    ) -> DataFrame:
+        """``(step_no, step, metric, value)`` rows; cells that a step emptied stand column by column."""
+        read, once, filled, saved = self.read.get["rows"], self.once.get["rows"], self.filled.get, self.saved.get
+        typed = {k: v or 0 for k, v in self.typed.get.items()}
+        emptied = [c for c in [*AMOUNT_COLUMNS, "order_date", "quantity"] if f"emptied_{c}" in typed]
+        labels = [c for c in LABEL_COLUMNS if f"emptied_{c}" in typed]
+        first, last = saved["first_date"], saved["last_date"]
+        passed = [
+            not saved["empty_cells"],
+            not saved["bad_revenue"],
+            not saved["bad_rating"],
+            first is not None and str(first) >= first_date,
+            last is not None and str(last) <= last_date,
+        ]
+        removed = read - once
+        rows = [
+            (1, "load", "rows", read),
+            (1, "load", "columns", len(self.columns)),
+            (2, "remove_duplicates", "removed_rows", removed),
+            (2, "remove_duplicates", "removed_pct", round(removed / read * 100, 1) if read else None),
+            (3, "fix_data_types", "emptied_cells", sum(typed[f"emptied_{c}"] for c in emptied)),
+            *[(3, "fix_data_types", f"emptied_{c}", typed[f"emptied_{c}"]) for c in emptied],
+            (4, "standardize_categories", "changed_labels", sum(typed[f"changed_{c}"] for c in labels)),
+            (4, "standardize_categories", "emptied_labels", sum(typed[f"emptied_{c}"] for c in labels)),
+            (5, "handle_missing_values", "nulls_before", filled["nulls_before"] or 0),
+            (5, "handle_missing_values", "nulls_after", filled["nulls_after"] or 0),
+            (5, "handle_missing_values", "dropped_rows", filled["dropped_rows"]),
+            (6, "handle_negative_revenue", "zeroed_rows", filled["zeroed_rows"]),
+            (7, "add_time_features", "columns_added", len(TIME_FEATURES)),
+            (8, "validate", "required_checks", len(passed)),
+            (8, "validate", "required_passed", sum(passed)),
+            (9, "save", "rows", saved["rows"]),
+            (9, "save", "columns", len(self.columns) + len(TIME_FEATURES)),
+        ]
+        rows = [(no, step, name, None if value is None else float(value)) for no, step, name, value in rows]
+        return spark.createDataFrame(rows, "step_no int, step string, metric string, value double")
+
+
 def _replaced(df: DataFrame, **changed: str) -> DataFrame:
     """The same columns, some of them from a new expression."""
     return df.selectExpr(*[f"{changed.get(c, f'`{c}`')} AS `{c}`" for c in df.columns])
@@ -56,12 +107,9 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 
 
 def _number(c: str, text: bool = False) -> str:
-    """A double or null: no type suffixes; infinities and values from 1e15 on count as missing.
-
-    From there on a double holds no cents.
-    """
+    """A double or null: no type suffixes; infinities count as missing."""
     value = f"CASE WHEN {c} RLIKE '{NUMBER}' THEN try_cast({c} as double) END" if text else c
-    return f"CASE WHEN abs(try_cast({value} as double)) < 1e15 THEN try_cast({value} as double) END"
+    return f"CASE WHEN abs(try_cast({value} as double)) < double('Infinity') THEN try_cast({value} as double) END"
 
 
 def _date(c: str) -> str:
@@ -73,17 +121,21 @@ def _date(c: str) -> str:
     return f"try_to_date(regexp_replace({day}, '{DAY}', '$1-$2-$3'), 'yyyy-M-d')"
 
 
-def fix_data_types(df: DataFrame) -> DataFrame:
-    """Dates and numbers; a cell that cannot be read becomes null."""
+def _typed(df: DataFrame) -> dict[str, str]:
+    """How each cell is read that is not a label."""
     kinds = dict(df.dtypes)
     whole = _number("quantity", kinds["quantity"] == "string")
     as_text = kinds["order_date"] == "string"
-    return _replaced(
-        df,
-        order_date=_date("order_date") if as_text else "cast(order_date as date)",
-        quantity=f"try_cast(CASE WHEN {whole} = rint({whole}) THEN {whole} END as int)",
+    return {
+        "order_date": _date("order_date") if as_text else "cast(order_date as date)",
+        "quantity": f"try_cast(CASE WHEN {whole} = rint({whole}) THEN {whole} END as int)",
         **{c: _number(c, kinds[c] == "string") for c in AMOUNT_COLUMNS},
-    )
+    }
+
+
+def fix_data_types(df: DataFrame) -> DataFrame:
+    """Dates and numbers; a cell that cannot be read becomes null."""
+    return _replaced(df, **_typed(df))
 
 
 def standardize_categories(
@@ -108,13 +160,14 @@ def _fill_values(df: DataFrame) -> dict[str, Column]:
         df.groupBy("region", "shipping_type", "customer_rating").agg(*exprs(n="count(1)")),
         "label-counts",
     )
-    median = exact_quantiles(
-        counts.selectExpr("*", "'rating' AS of"),
-        "customer_rating",
-        [0.5],
-        by=["of"],
-        weight="n",
-    ).selectExpr("quantiles[0]")
+    # One row per rating that occurs: the two middle ones are those that first pass their ranks.
+    rated = counts.filter("customer_rating IS NOT NULL").groupBy("customer_rating").agg(*exprs(n="sum(n)"))
+    rated = rated.selectExpr(
+        "customer_rating", "sum(n) OVER (ORDER BY customer_rating) AS upto", "sum(n) OVER () AS total"
+    )
+    low = "min(customer_rating) FILTER (WHERE upto > (total - 1) div 2)"
+    high = "min(customer_rating) FILTER (WHERE upto > total div 2)"
+    median = rated.agg(*exprs(median=f"{high} - ({high} - {low}) * 0.5D"))
 
     def most_frequent(c: str) -> Column:
         # The smallest of the labels that share the highest count.
@@ -144,9 +197,22 @@ def fill_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
 
 
-def handle_missing_values(df: DataFrame) -> DataFrame:
+def handle_missing_values(df: DataFrame, log: CleaningLog | None = None) -> DataFrame:
     """Fill the gaps, then drop rows without a date, an id or a revenue."""
-    return fill_missing(df).dropna(subset=CRITICAL_COLUMNS)
+    if log is None:
+        return fill_missing(df).dropna(subset=CRITICAL_COLUMNS)
+    kept = " AND ".join(f"{c} IS NOT NULL" for c in CRITICAL_COLUMNS)
+    counted = fill_missing(df.selectExpr("*", f"{null_cells(df.columns)} AS _before"))
+    counted = counted.observe(
+        log.filled,
+        *exprs(
+            nulls_before="sum(_before)",
+            nulls_after=f"sum(CASE WHEN {kept} THEN {null_cells(df.columns)} END)",
+            dropped_rows=f"count_if(NOT ({kept}))",
+            zeroed_rows=f"count_if({kept} AND revenue < 0)",
+        ),
+    )
+    return counted.drop("_before").dropna(subset=CRITICAL_COLUMNS)
 
 
 def handle_negative_revenue(df: DataFrame) -> DataFrame:
@@ -162,29 +228,55 @@ def add_time_features(df: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated_and_typed(raw: DataFrame) -> DataFrame:
+def _observed_types(once: DataFrame, log: CleaningLog) -> DataFrame:
+    """Types and labels at once, counting the cells that change or cannot be read."""
+    columns = once.columns
+    labels = [c for c in LABEL_COLUMNS if c in columns]
+    both = once.select("*", F.struct(*columns).alias("_raw"))
+    both = standardize_categories(fix_data_types(both))
+    read = [c for c in ("order_date", "quantity", *AMOUNT_COLUMNS) if c in columns]
+    counts = {f"emptied_{c}": f"count_if(_raw.{c} IS NOT NULL AND {c} IS NULL)" for c in [*read, *labels]}
+    counts |= {f"changed_{c}": f"count_if(_raw.{c} <> {c})" for c in labels}
+    return both.observe(log.typed, *exprs(**counts)).select(*columns)
+
+
+def deduplicated_and_typed(raw: DataFrame, log: CleaningLog | None = None) -> DataFrame:
     """The first three steps, staged: the fill values and the filled table both read it,
     and the shuffle of whole rows should run once."""
-    return staged(
-        raw.transform(remove_duplicates)
-        .transform(fix_data_types)
-        .transform(standardize_categories),
-        "typed",
-    )
+    if log is None:
+        steps = raw.transform(remove_duplicates).transform(fix_data_types).transform(standardize_categories)
+        return staged(steps, "typed")
+    log.columns = list(raw.columns)
+    once = remove_duplicates(raw.observe(log.read, *exprs(rows="count(1)")))
+    once = once.observe(log.once, *exprs(rows="count(1)"))
+    return staged(_observed_types(once, log), "typed")
 
 
-def clean_typed(typed: DataFrame) -> DataFrame:
+def clean_typed(typed: DataFrame, log: CleaningLog | None = None) -> DataFrame:
     """The steps after the staged table."""
-    return (
-        typed.transform(handle_missing_values)
+    out = (
+        typed.transform(handle_missing_values, log)
         .transform(handle_negative_revenue)
         .transform(add_time_features)
     )
+    if log is None:
+        return out
+    return out.observe(
+        log.saved,
+        *exprs(
+            rows="count(1)",
+            empty_cells=f"coalesce(sum({null_cells(CHECKED_COLUMNS)}), 0)",
+            bad_revenue="count_if(NOT coalesce(revenue >= 0, false))",
+            bad_rating="count_if(NOT coalesce(customer_rating BETWEEN 1 AND 5, false))",
+            first_date="min(order_date)",
+            last_date="max(order_date)",
+        ),
+    )
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """All steps in their fixed order."""
-    return clean_typed(deduplicated_and_typed(raw))
+def clean(raw: DataFrame, log: CleaningLog | None = None) -> DataFrame:
+    """All steps in their fixed order; ``log`` counts what they do while the result is written."""
+    return clean_typed(deduplicated_and_typed(raw, log), log)
 
 
 def null_cells(columns: list[str]) -> str:
@@ -192,45 +284,16 @@ def null_cells(columns: list[str]) -> str:
     return "(" + " + ".join(f"cast(`{c}` IS NULL as int)" for c in columns) + ")"
 
 
-def cleaning_metrics(raw: DataFrame, typed: DataFrame | None = None) -> DataFrame:
-    """What each cleaning step did, as ``(step_no, step, metric, value)`` rows.
-
-    ``typed`` is the staged table of these raw orders, if there is one already.
+def cleaning_metrics(
+    raw: DataFrame, first_date: str = "2022-01-01", last_date: str = "2024-12-31"
+) -> DataFrame:
+    """What each step does to these raw orders, as ``(step_no, step, metric, value)`` rows.
 
-    A row count of the raw table, and one aggregate over the typed table that carries the
-    row both before and after filling.
+    Cleans without keeping the result; with a table to write, hand ``clean`` a ``CleaningLog``.
     """
-    columns = list(raw.columns)
-    typed = deduplicated_and_typed(raw) if typed is None else typed
-    counted = typed.selectExpr("*", f"{null_cells(columns)} AS _before")
-    kept = " AND ".join(f"{c} IS NOT NULL" for c in CRITICAL_COLUMNS)
-    totals = (
-        fill_missing(counted)
-        .agg(
-            *exprs(
-                distinct_rows="count(1)",
-                nulls_before="coalesce(sum(_before), 0)",
-                nulls_after=f"coalesce(sum(CASE WHEN {kept} THEN {null_cells(columns)} END), 0)",
-                rows_saved=f"count_if({kept})",
-                zeroed_rows=f"count_if({kept} AND revenue < 0)",
-            )
-        )
-        .withColumn("raw_rows", raw.agg(*exprs(n="count(1)")).scalar())
-    )
-    removed = "raw_rows - distinct_rows"
-    rows = [
-        (1, "load", "rows", "raw_rows"),
-        (1, "load", "columns", str(len(columns))),
-        (2, "remove_duplicates", "removed_rows", removed),
-        (2, "remove_duplicates", "removed_pct", rounded(percent(removed, "raw_rows"), 1)),
-        (5, "handle_missing_values", "nulls_before", "nulls_before"),
-        (5, "handle_missing_values", "nulls_after", "nulls_after"),
-        (6, "handle_negative_revenue", "zeroed_rows", "zeroed_rows"),
-        (9, "save", "rows", "rows_saved"),
-        (9, "save", "columns", str(len(columns) + len(TIME_FEATURES))),
-    ]
-    cells = ", ".join(f"{no}, '{s}', '{m}', cast({v} as double)" for no, s, m, v in rows)
-    return totals.selectExpr(f"stack({len(rows)}, {cells}) AS (step_no, step, metric, value)")
+    log = CleaningLog()
+    clean(raw, log).write.format("noop").mode("overwrite").save()
+    return log.metrics(raw.sparkSession, first_date, last_date)
 
 
 def validate(

@@ -7,13 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators.charts import run_charts
-from tillroll.operators.cleaning import (
-    clean_typed,
-    cleaning_metrics,
-    deduplicated_and_typed,
-    validate,
-)
-from tillroll.operators.cohorts import run_cohorts
+from tillroll.operators.cleaning import CleaningLog, clean, validate
+from tillroll.operators.cohorts import possible_ages, run_cohorts
 from tillroll.operators.defects import DefectRates, defect_key, inject_defects, shuffle_rows
 from tillroll.operators.insights import insights_table, report_lines
 from tillroll.operators.pricing import run_pricing
@@ -42,12 +37,16 @@ def generate_raw(
 
 
 def run_analyses(df: DataFrame, options: RunOptions = RunOptions()) -> dict[str, DataFrame]:
-    """Every analysis over a clean table, by name; no result is computed until it is used."""
+    """Every analysis over a written clean table, by name.
+
+    Small jobs run while this is built: the span of months, and the staged counts that several
+    passes of an analysis share.  The results themselves are computed when they are used.
+    """
     approx = options.approx_quantiles
     return {
         **run_reports(df, options.high_value_segment, options.high_volume_segment, approx),
         **run_charts(df),
-        **run_cohorts(df),
+        **run_cohorts(df, possible_ages(df)),
         **run_pricing(df, approx),
         "summary_metrics": summary_metrics(df),
     }
@@ -66,9 +65,9 @@ def full_run(raw: DataFrame, out: str, options: RunOptions = RunOptions()) -> di
         files.write_parquet(frame, written[name])
         return spark.read.schema(frame.schema).parquet(written[name])
 
-    typed = deduplicated_and_typed(raw)
-    table = save("clean", clean_typed(typed))
-    save("cleaning_metrics", cleaning_metrics(raw, typed))
+    log = CleaningLog()
+    table = save("clean", clean(raw, log))
+    save("cleaning_metrics", log.metrics(spark, options.first_date, options.last_date))
     save("validation", validate(table, options.first_date, options.last_date))
     saved = {name: save(name, frame) for name, frame in run_analyses(table, options).items()}
 
