@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions.numeric import exprs, money_sum
 from tillroll.operators import (
     charts,
     cleaning,
@@ -19,7 +21,8 @@ from tillroll.operators import (
     synth,
 )
 from tillroll.schema import CORRELATED_COLUMNS, RAW_COLUMNS
-from tillroll.sources.staging import staged
+from tillroll.sources import files
+from tillroll.sources.staging import shared_folder, staged
 from tillroll.sources.star_schema import read_table, sales
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +119,61 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.orders_for(orders, numbers, "o_orderkey")
 
 
+# Sources and sinks: what was written is read back.
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV lines, some of them damaged: how many are kept and why others are not."""
+    keyed = sales(spark, sf_dir, [*RAW_COLUMNS, "defect_key"])
+    cells = keyed.select("defect_key", *[F.col(c).cast("string").alias(c) for c in RAW_COLUMNS])
+    line = "to_csv(struct({}))"
+    whole, cut = line.format(", ".join(RAW_COLUMNS)), line.format(", ".join(RAW_COLUMNS[:14]))
+    damaged = (
+        f"CASE WHEN defect_key BETWEEN 300 AND 309 THEN {cut} WHEN defect_key BETWEEN 310 AND 319 "
+        f"THEN concat({whole}, ',extra') WHEN defect_key BETWEEN 320 AND 324 THEN concat('\"', {whole}) "
+        f"ELSE {whole} END AS value"
+    )
+    path = fresh_folder(spark, "damaged")
+    cells.selectExpr(damaged).write.text(path)
+    orders, rejected = files.read_checked_csv(spark, path, header=False)
+    kept = cleaning.fix_data_types(orders).agg(*exprs(rows="count(1)", revenue=money_sum("revenue")))
+    kept = kept.selectExpr("'kept' AS outcome", "rows", "revenue")
+    left = rejected.groupBy("reason").agg(*exprs(rows="count(1)"))
+    return kept.unionByName(left.selectExpr("reason AS outcome", "rows", "cast(null as double) AS revenue"))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw orders written as CSV and read again."""
+    path = fresh_folder(spark, "raw-csv")
+    files.write_csv(raw_orders(spark, sf_dir), path)
+    return cleaning.fix_data_types(files.read_raw_csv(spark, path))
+
+
+def month_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in folders by month, the first month then written again with its delivered ones."""
+    path = fresh_folder(spark, "months")
+    orders = sales(spark, sf_dir, ["order_id", "order_date", "order_status", "revenue"])
+    files.write_months(orders, path)
+    first = files.read_months(spark, path).agg(F.date_format(F.min("order_date"), "yyyy-MM")).first()[0]
+    again = files.read_months(spark, path, first, first).filter("order_status = 'Delivered'")
+    files.write_months(staged(again, "first-month"), path)
+    return files.read_months(spark, path).groupBy(F.date_format("order_date", "yyyy-MM").alias("month")).agg(
+        *exprs(orders="count(1)", revenue=money_sum("revenue"))
+    )
+
+
+def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary metrics as the CSV that a run leaves, read again."""
+    path = fresh_folder(spark, "summary-csv")
+    metrics = profile.summary_metrics(sales(spark, sf_dir, SUMMARISED)).orderBy("metric_no")
+    files.write_csv(metrics.selectExpr("metric AS Metric", "value_str AS Value"), path)
+    return spark.read.schema("Metric string, Value string").option("header", True).csv(path)
+
+
 _category = ["product_category", "order_status", "revenue", "order_id", "quantity", "customer_rating"]
 _region = ["region", "order_status", "revenue", "order_id", "profit", "discount_pct"]
 _segment = [
@@ -208,13 +266,13 @@ QUERIES: dict[str, Query] = {
     "top10_ltv": over_sales(cohorts.top_customers, [*COHORT, "order_id", "customer_rating"]),
     "first10_cohorts": matrix(cohorts.first_cohorts, COHORT),
     # Pricing
-    "price_bins": over_sales(pricing.price_bins, PRICED),
-    "elasticity": over_sales(pricing.elasticity_by_category, PRICED),
-    "price_scenarios": over_sales(pricing.revenue_at_price_points, PRICED),
-    "optimal_pricing": over_sales(pricing.optimal_pricing, PRICED),
-    "pricing_strategies": over_sales(pricing.pricing_strategies, PRICED),
-    "margin_by_tier": over_sales(pricing.margin_by_price_tier, PRICED),
-    "scenarios_head": over_sales(pricing.scenarios_head, PRICED),
+    "price_bins": over_table(pricing.price_bins, PRICED),
+    "elasticity": over_table(pricing.elasticity_by_category, PRICED),
+    "price_scenarios": over_table(pricing.revenue_at_price_points, PRICED),
+    "optimal_pricing": over_table(pricing.optimal_pricing, PRICED),
+    "pricing_strategies": over_table(pricing.pricing_strategies, PRICED),
+    "margin_by_tier": over_table(pricing.margin_by_price_tier, PRICED),
+    "scenarios_head": over_table(pricing.scenarios_head, PRICED),
     # Defects, cleaning, synthetic orders
     "inject_defects": raw_orders,
     "dedup": over_raw(cleaning.remove_duplicates),
@@ -234,6 +292,13 @@ QUERIES: dict[str, Query] = {
     "validate": over_raw(validated),
     "clean_sales": over_raw(cleaning.clean),
     "synth_orders": synthetic,
+    "shuffled": over_raw(defects.shuffle_rows),
+    # Sources and sinks
+    "csv_quarantine": csv_quarantine,
+    "csv_round_trip": csv_round_trip,
+    "month_sink": month_sink,
+    "summary_csv": summary_csv,
+    "preview": over_sales(profile.preview, RAW_COLUMNS, order_by=["order_date", "order_id"]),
     # Findings
     "insights_table": over_table(
         lambda df, **o: insights.insights_table(*insights.findings(df, **o)), FOUND, **_named_segments

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from conftest import rows_of
+from tillroll.functions.quantiles import counted_values
 from tillroll.operators import charts, cohorts, pricing, profile, reports
 
 
@@ -283,12 +284,12 @@ def test_tiers_match_brute_force_and_tolerate_dropped_edges(orders):
 
 
 def test_any_number_of_categories_takes_one_path(spark, orders):
-    """No join is hinted, the orders are read once, and a hot price is one row."""
+    """No join is hinted, and a hot price is one row of the counted prices."""
     rows = [{"product_category": f"C{i % 300}", "unit_price": float(1 + i % 11)} for i in range(3600)]
     rows += [{"product_category": "Hot", "unit_price": 9.99}] * 1800
     rows += [{"product_category": "Hot", "unit_price": 9.99 + i * 1e-6} for i in range(300)]
     df = orders(*rows)
-    prices = pricing.by_price(df)
+    prices = counted_values(pricing.priced_orders(df), "price", ["product_category"])
     assert prices.filter("product_category = 'Hot'").count() == 300  # 1,801 orders share a price
     expected = rows_of(pricing.price_bins(df))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -158,10 +158,11 @@ def _picked(members: DataFrame, found: DataFrame, by: list[str], fits: int, want
     return picked
 
 
-def bin_index(value: str, edges: str) -> str:
-    """Right-closed bin of a value, the lowest edge included; repeated edges count once."""
-    distinct_edges = f"array_distinct({edges})"
-    return (
-        f"CASE WHEN {value} IS NOT NULL AND size({distinct_edges}) > 1 "
-        f"THEN greatest(size(filter({distinct_edges}, e -> e < {value})) - 1, 0) END"
-    )
+def bin_index(value: str, edges: str, most: int) -> str:
+    """Right-closed bin of a value, the lowest edge included.
+
+    ``edges`` is an array of at most ``most`` ascending edges without repeats: plain comparisons,
+    so that the detail rows stay in generated code.
+    """
+    above = " + ".join(f"CASE WHEN {value} > get({edges}, {i}) THEN 1 ELSE 0 END" for i in range(most))
+    return f"CASE WHEN {value} IS NOT NULL AND size({edges}) > 1 THEN greatest({above} - 1, 0) END"

@@ -1,8 +1,8 @@
 """Price elasticity, what-if revenue, pricing advice and margins by price tier.
 
-The orders are read once, into sums per category and price, which are written; the exact
-quantiles that bins are cut at, and the bins, come from that table, and everything after
-works on a few rows per category.  A price that a third of the orders have is one row of it.
+Bins are cut per category at exact quantiles, found in a written table of the distinct prices
+and how often they occur.  The orders are read for that and once more for the bins; everything
+after works on a few rows per category.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tillroll.functions.numeric import (
     parts,
     rounded,
     summed_parts,
+    units,
     whole_sum,
 )
 from tillroll.functions.quantiles import FIFTHS, THIRDS, bin_index, exact_quantiles
@@ -43,17 +44,17 @@ STRATEGIES = [
 HIGHEST_STRATEGY = "⬆️ Raise prices - Very low elasticity, high margin potential"
 
 
-# Sums that merge by addition: what they hold per price holds per bin and per category.
+# Sums per bin that add up to those of the category.
 _SUMS = {
     "rows": "count(1)",
     "orders": "count(order_id)",
-    "priced": "count(unit_price)",
-    "price_whole": whole_sum("unit_price"),
-    "price_micro": micro_sum("unit_price"),
+    "priced": "count(price)",
+    "price_whole": whole_sum("price"),
+    "price_micro": micro_sum("price"),
     "counted": "count(quantity)",
     "quantity": int_sum("quantity"),
-    "earning": "count(revenue)",
-    "profiting": "count(profit)",
+    "earning": f"count({units('revenue')})",
+    "profiting": f"count({units('profit')})",
     "discounted": "count(discount_pct)",
     "discount_whole": whole_sum("discount_pct"),
     "discount_micro": micro_sum("discount_pct"),
@@ -61,34 +62,29 @@ _SUMS = {
 }
 
 
-def by_price(df: DataFrame) -> DataFrame:
-    """Delivered orders as one row per category and price, written: all pricing reads this.
-
-    Orders without a price are a row of their category.
-    """
+def priced_orders(df: DataFrame) -> DataFrame:
+    """Delivered orders of a category, with their ``price``."""
     orders = delivered(df).filter("product_category IS NOT NULL")
-    keyed = orders.selectExpr("*", "cast(unit_price as double) + 0D AS price")
-    return staged(
-        keyed.groupBy("product_category", "price").agg(*exprs(**_SUMS)), "by-price"
-    )
+    return orders.selectExpr("*", "cast(unit_price as double) + 0D AS price")
 
 
-def _binned(prices: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
-    """Sums per (category, bin of price) of ``by_price`` rows, for categories with enough orders.
+def _binned(df: DataFrame, probs: Sequence[float], approx: bool) -> DataFrame:
+    """Sums per (category, bin of price), for categories with enough orders.
 
     Orders without a price have no bin but belong to their category.
     """
-    edges = exact_quantiles(prices, "price", probs, ["product_category"], weight="priced", approx=approx)
-    # One row per category on one side: Spark broadcasts it if it is small, else it splits
-    # a category with very many prices.
-    edges = staged(edges.selectExpr("product_category", "quantiles"), "edges")
+    orders = priced_orders(df)
+    edges = exact_quantiles(orders, "price", probs, ["product_category"], approx=approx)
+    # One written row per category: Spark broadcasts it if it is small, else it splits the
+    # partitions of a hot category.
+    edges = staged(edges.selectExpr("product_category", "array_distinct(quantiles) AS edges"), "edges")
     return (
-        prices.join(edges, "product_category", "left")
-        .selectExpr("*", f"{bin_index('price', 'quantiles')} AS bin")
+        orders.join(edges, "product_category", "left")
+        .selectExpr("*", f"{bin_index('price', 'edges', len(probs))} AS bin")
         .groupBy("product_category", "bin")
         .agg(
             *exprs(
-                **{c: f"sum({c})" for c in _SUMS},
+                **_SUMS,
                 min_price="min(price)",
                 max_price="max(price)",
             )
@@ -106,7 +102,7 @@ _MEAN_QUANTITY = "try_divide(cast(quantity as double), counted)"
 def price_bins(df: DataFrame, approx: bool = False) -> DataFrame:
     """Mean price and quantities per category and fifth of its prices."""
     return (
-        _binned(by_price(df), FIFTHS, approx)
+        _binned(df, FIFTHS, approx)
         .filter("bin IS NOT NULL")
         .selectExpr(
             "category",
@@ -120,15 +116,15 @@ def price_bins(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def _categories(prices: DataFrame, approx: bool) -> DataFrame:
-    """One row per category of ``by_price`` rows: its facts, and the fitted ``slope`` and ``r2`` or null.
+def _categories(df: DataFrame, approx: bool) -> DataFrame:
+    """One row per category: its facts, and the fitted ``slope`` and ``r2`` or null.
 
     The fit is over the logs of the bins' mean price and mean quantity.
     """
     x, y = f"ln({_MEAN_PRICE})", f"ln({_MEAN_QUANTITY})"
     usable = f"bin IS NOT NULL AND {_MEAN_PRICE} > 0 AND {_MEAN_QUANTITY} > 0"
     return (
-        _binned(prices, FIFTHS, approx)
+        _binned(df, FIFTHS, approx)
         .selectExpr(
             "*",
             f"CASE WHEN {usable} THEN {x} END AS x",
@@ -167,7 +163,7 @@ def _categories(prices: DataFrame, approx: bool) -> DataFrame:
 def elasticity_by_category(df: DataFrame, approx: bool = False) -> DataFrame:
     """Slope of log quantity on log price over the price bins; most elastic first."""
     return (
-        _categories(by_price(df), approx)
+        _categories(df, approx)
         .filter("slope IS NOT NULL")
         .selectExpr(
             "category",
@@ -220,7 +216,7 @@ def _scenarios(categories: DataFrame) -> DataFrame:
 
 def revenue_at_price_points(df: DataFrame, approx: bool = False) -> DataFrame:
     """Expected revenue of every category at 80 to 120 % of its mean price."""
-    scenarios = _scenarios(_categories(by_price(df), approx)).drop("elasticity")
+    scenarios = _scenarios(_categories(df, approx)).drop("elasticity")
     return scenarios.orderBy("category", "scenario_no")
 
 
@@ -232,7 +228,7 @@ def optimal_pricing(df: DataFrame, approx: bool = False) -> DataFrame:
     )
     bands = " ".join(f"WHEN best.elasticity < {b}D THEN {quoted(s)}" for b, s in STRATEGIES)
     return (
-        _scenarios(_categories(by_price(df), approx).filter("slope IS NOT NULL"))
+        _scenarios(_categories(df, approx).filter("slope IS NOT NULL"))
         .groupBy("category")
         # The earliest scenario wins a tie.
         .agg(*exprs(best=f"max_by({outcome}, struct(revenue_change_pct, -scenario_no))"))
@@ -259,7 +255,7 @@ def margin_by_price_tier(df: DataFrame, approx: bool = False) -> DataFrame:
     """Price, revenue, profit and margin of every category's price thirds."""
     revenue, profit = amount_of("revenue"), amount_of("profit")
     return (
-        _binned(by_price(df), THIRDS, approx)
+        _binned(df, THIRDS, approx)
         .filter("bin IS NOT NULL")
         .selectExpr(
             "category",
