@@ -3,12 +3,14 @@
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
 
 from tillroll.llm import bpe, fingerprints, langid, licences, near, substrings
+from tillroll.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -185,3 +187,34 @@ def test_licences_found_and_prose_left_alone(spark):
     assert [found[i]["family"] for i in (0, 1, 2)] == ["MIT", "Apache-2.0", "GPL"]
     assert found[0]["paragraph"] == 1 and not {4, 5, 6} & set(found)
     assert 3 not in found or found[3]["family"] == "unknown"
+
+
+def test_training_holds_the_spans_alone():
+    """800 texts of 20,000 characters: the features of a bounded number of words are built."""
+    import resource
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3300)) for _ in range(40)] * 20
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    words, index, target = langid._sequences(texts, np.arange(800) % 4, np.random.default_rng(7))
+    assert index.shape == (langid.MOST_SEQUENCES, 48) and len(words.start) <= index.size
+    langid.train(texts, [f"l{i % 4}" for i in range(800)], epochs=1)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 200
+
+
+def test_spans_are_the_words_of_their_texts():
+    texts = [f"Alpha{i} beta gamma{i} delta épsilon zeta" for i in range(30)] + ["x", ""]
+    words, index, target = langid._sequences(texts, np.arange(32) % 2, np.random.default_rng(7))
+    spelled = [bytes(words.data[a:b]).decode() for a, b in zip(words.start, words.end)]
+    known = {w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())}
+    assert set(spelled) <= known and index.max() < len(spelled)
+    pairs = {(spelled[a], spelled[b]) for row in index for a, b in zip(row, row[1:])}
+    assert ("beta", "gamma") in pairs and ("gamma", "delta") in pairs
+
+
+def test_components_that_do_not_settle_raise(spark):
+    chain = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    found = {r["node"]: r["least"] for r in components(chain, "a", "b").collect()}
+    assert found == {i: 0 for i in range(41)}
+    with pytest.raises(RuntimeError):
+        components(chain, "a", "b", rounds=2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillroll.sources.staging import staged
@@ -12,8 +12,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, least): each node of an edge and the least node that it is connected to.
 
     Each round links every larger neighbour of a node to its least neighbour, then every smaller
-    one; edges never grow in number and a round that changes nothing ends the work.  Nodes
-    compare as their type does; nulls and loops are left out.
+    one; edges never grow in number and a round that changes nothing ends the work.  The test for
+    that comes with the round's own write.  Nodes compare as their type does; nulls and loops are
+    left out.  Should ``rounds`` not be enough, which would take a chain of more than 2 ** rounds
+    or so, the work ends with an error rather than with unfinished classes.
     """
     current = edges.select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
@@ -28,11 +30,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = staged(small, "edges")
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        seen = Observation()
+        size, mark = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
+        current = staged(small.observe(seen, size, mark), "edges")
+        now = (seen.get["n"], seen.get["s"])
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     least = current.groupBy("u").agg(F.min("v").alias("least")).withColumnRenamed("u", "node")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct()
     return least.unionByName(roots.join(least, "node", "left_anti"))

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm.words import _hash_ranges, buffers, pieces
+from tillroll.sources.staging import staged
 
 BUCKETS = 1 << 16
 KINDS = 4  # trigram, start, end, word
 DOCS_PER_LANGUAGE = 200
 LONGEST_SAMPLE = 20_000
+MOST_LANGUAGES = 64
+MOST_SEQUENCES = 6_000
 BATCH_BYTES = 8 << 20
 PIECE_BYTES = 256 << 10
 UNDETERMINED = "und"
@@ -157,31 +160,49 @@ def posteriors(scores: np.ndarray, first: np.ndarray, crf: Crf) -> np.ndarray:
     return out
 
 
-def _sequences(texts: list[str], labels: np.ndarray, rng, words: int = 48) -> tuple[Letters, list, np.ndarray]:
+def _sequences(texts: list[str], labels: np.ndarray, rng, words: int = 48) -> tuple[Letters, np.ndarray, np.ndarray]:
     """Equal-length sequences of spans of 4 to 24 words whose languages switch at random.
 
-    Texts of fewer words serve only languages that have no longer ones.
+    Returns the words that they use, without any others, the place of each word of a sequence
+    among those, and its language.  Texts of fewer words serve only languages that have no longer
+    ones.
     """
-    parts = letter_words(pa.array(texts, pa.large_string()))
-    lengths = np.diff(parts.first)
+    parts = []
+    for text in texts:
+        found = letter_words(pa.array([text], pa.large_string()))
+        parts.append((found.data, found.start.astype(np.int32), found.end.astype(np.int32)))
+    lengths = np.array([len(start) for _, start, _ in parts])
+    first = np.concatenate([[0], np.cumsum(lengths)])
     by_label = [np.flatnonzero((labels == k) & (lengths >= 4)) for k in range(labels.max() + 1)]
     # A language of short texts only, or of a script without blanks, is learned from what it has.
     by_label = [d if len(d) else np.flatnonzero((labels == k) & (lengths > 0)) for k, d in enumerate(by_label)]
     known = [k for k, docs in enumerate(by_label) if len(docs)]
-    n = max(64, min(6_000, int(lengths.sum()) // words))
-    index = np.empty((n, words), dtype=np.int64)
+    n = max(64, min(MOST_SEQUENCES, int(lengths.sum()) // words))
+    index = np.empty((n if known else 0, words), dtype=np.int64)
     target = np.empty((n, words), dtype=np.int64)
-    for i in range(n if known else 0):
+    for i in range(len(index)):
         at = 0
         while at < words:
             k = known[rng.integers(len(known))]
             doc = by_label[k][rng.integers(len(by_label[k]))]
             take = min(int(rng.integers(4, 25)), words - at, int(lengths[doc]))
-            begin = parts.first[doc] + rng.integers(lengths[doc] - take + 1)
+            begin = first[doc] + rng.integers(lengths[doc] - take + 1)
             index[i, at : at + take] = np.arange(begin, begin + take)
             target[i, at : at + take] = k
             at += take
-    return parts, (index if known else index[:0]), target
+    used = np.unique(index)
+    pieces_, starts, ends, total = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for doc in np.unique(np.searchsorted(first, used, side="right") - 1):
+        data, start, end = parts[doc]
+        own = used[np.searchsorted(used, first[doc]) : np.searchsorted(used, first[doc + 1])] - first[doc]
+        size = (end[own] - start[own]).astype(np.int64)
+        ends.append(total + np.cumsum(size))
+        starts.append(ends[-1] - size)
+        inside = np.repeat(start[own] - (starts[-1] - total), size) + np.arange(size.sum())
+        pieces_.append(data[inside])
+        total += int(size.sum())
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    return Letters(start, end, np.array([0, len(start)]), np.concatenate(pieces_)), np.searchsorted(used, index), target
 
 
 def train(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 100, rate: float = 0.3) -> Crf | None:
@@ -246,24 +267,49 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 100,
     return Crf(labels, weights, start, move)
 
 
+def _least_hashed(distinct: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """(lang, h, place): the ``most`` least hashes of each language.
+
+    Only hashes below a bound that lets little more than ``most`` of a language pass are ranked,
+    since they meet in one task; should too few pass, the bound is doubled.
+    """
+    shares = {lang: (most + 10 * most**0.5 + 100) / n for lang, n in counts.items()}
+    while True:
+        bounds = [(lang, None if share >= 1 else int(share * 2**64) - 2**63) for lang, share in shares.items()]
+        frame = distinct.sparkSession.createDataFrame(bounds, "lang string, bound bigint")
+        passing = distinct.join(F.broadcast(frame), "lang").where("bound is null or h < bound")
+        passed = {r["lang"]: r["n"] for r in passing.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [lang for lang, share in shares.items() if share < 1 and passed.get(lang, 0) < most]
+        if not short:
+            break
+        shares |= {lang: 2 * shares[lang] for lang in short}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return passing.select("lang", "h", place.alias("place")).where(F.col("place") <= most)
+
+
 def fit(
     labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None,
-    docs_per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST_SAMPLE,
+    docs_per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST_SAMPLE, languages: int = MOST_LANGUAGES,
 ) -> Crf | None:
     """Train on ``docs_per_language`` distinct texts of each language, those of least hash.
 
+    Of more than ``languages`` labels, those with most distinct texts are learned (ties: by name).
+
     Of a text beyond ``longest`` characters a span of that length serves, placed by the hash, or
     from its first letter on if that one has none.  Texts without letters or without a language
-    are not sampled, so the sample that the driver holds is bounded by the two parameters and the
-    number of languages.  None without any labelled text.
+    are not sampled, so the sample that the driver holds is bounded by the three parameters.  None
+    without any labelled text.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("text"))
     # Copies fall together before they are ranked, without shuffling any text.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = rows.select("lang", "h").distinct().withColumn("place", place)
-    least = least.where(F.col("place") <= docs_per_language)
+    distinct = staged(rows.select("lang", "h").distinct(), "language-hashes")
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not most:
+        return None
+    least = staged(_least_hashed(distinct, {r["lang"]: r["n"] for r in most}, docs_per_language), "language-sample")
     texts = rows.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "place", "h").agg(F.min("text").alias("text"))
     start = F.pmod("h", F.length("text") - longest + 1) + 1
     span = F.substr("text", start.cast("int"), F.lit(longest))
