@@ -230,11 +230,12 @@ def _candidates(rows: DataFrame, text: str, chunk: str, size: int, sketch: Broad
                     yield from emit(number, keys)
                     keys = []
                 number = int(marks[i])
-                words = words_of(texts.slice(i, j - i))
-                start, places = windows_of(words, size)
-                there, back = np.unique(places, return_inverse=True)
-                hit = maybe_repeated(gram_names(words, there, size), sketch.value, bits)[back]
-                keys.append(window_keys(words, start[hit], size))
+                for p, q in pieces(texts.slice(i, j - i)):
+                    words = words_of(texts.slice(i + p, q - p))
+                    start, places = windows_of(words, size)
+                    there, back = np.unique(places, return_inverse=True)
+                    hit = maybe_repeated(gram_names(words, there, size), sketch.value, bits)[back]
+                    keys.append(window_keys(words, start[hit], size))
         if number is not None:
             yield from emit(number, keys)
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18  # texts worked on at once; a worker keeps what the largest piece needed
+KEPT_POWERS = 1 << 19
 
 
 def worker_cache() -> dict:
@@ -36,7 +37,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.full(size, b, dtype=np.uint64)
             out[0] = 1
             both.append(np.cumprod(out, dtype=np.uint64))
-        have = cache[base] = tuple(both)
+        have = tuple(both)
+        if size <= KEPT_POWERS:  # a very long text's are not kept
+            cache[base] = have
     return have
 
 
@@ -78,7 +81,7 @@ def _hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     out = np.empty(len(start), dtype=np.uint64)
     at = 0
     while at < len(start):
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + PIECE_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + PIECE_BYTES - 1, side="right")))
         low, high = int(start[at]), int(end[stop - 1])
         power, inverse = _powers(BYTE_BASE, high - low + 1)
         sums = np.zeros(high - low + 1, dtype=np.uint64)
