@@ -27,7 +27,7 @@ DOCS_PER_LANGUAGE = 200
 LONGEST_SAMPLE = 20_000
 MOST_LANGUAGES = 64
 MOST_SEQUENCES = 6_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 6 << 20
 PIECE_BYTES = 256 << 10
 UNDETERMINED = "und"
 

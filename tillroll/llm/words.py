@@ -6,6 +6,7 @@ bytes (or over word hashes) modulo 2**64 taken from prefix sums, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -137,6 +138,18 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return range_hashes(words.hashes, start, end), words.row[start]
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system.
+
+    A worker serves one operator after the other; without this it keeps what each of them needed
+    at most, and a few workers of one executor add up.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, at least one row each."""
     offsets, _ = buffers(texts)
@@ -146,3 +159,5 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         stop = min(max(stop, at + 1), len(texts))
         yield at, stop
         at = stop
+    if len(texts) and offsets[-1] > limit:
+        give_back()
