@@ -305,7 +305,7 @@ QUERIES: dict[str, Query] = {
     ),
     "report_lines": over_table(
         lambda df, **o: insights.report_lines(*insights.findings(df, **o)).selectExpr(
-            "line_no.ord AS part_no", "line_no.head AS heading", "line_no.pos AS pos", "line"
+            "line_no.ord AS part_no", "line_no.rank AS rank", "line_no.head AS heading", "line_no.pos AS pos", "line"
         ),
         FOUND,
         **_named_segments,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillroll.functions.numeric import exprs
-from tillroll.functions.text import lookup, title_case
+from tillroll.functions.text import lookup, quoted, title_case
 from tillroll.operators.cohorts import cohort_insights
 from tillroll.operators.pricing import optimal_pricing
 from tillroll.operators.reports import business_answers, display_answers
@@ -20,6 +20,14 @@ QUESTIONS = [
     "Do discounts erode profit margins?",
     "Which category has the highest return rate?",
 ]
+# The order in which a question lists its numbers.
+METRICS = [
+    *["first_year", "first_revenue", "last_year", "last_revenue", "growth_pct"],
+    *["top_category", "top_revenue", "second_category", "top_region", "total_revenue"],
+    *["high_value_segment", "high_value_avg_order_value", "high_value_orders", "high_volume_segment"],
+    *["high_volume_orders", "top_payment", "avg_order_value", "first_margin", "last_margin"],
+    *["worst_category", "return_rate_pct"],
+]
 PARTS = [
     "Core Business Analysis",
     "Cohort & Retention Insights",
@@ -81,19 +89,26 @@ def _title(key: str) -> str:
 
 
 def report_lines(answers: DataFrame, cohorts: DataFrame, pricing: DataFrame) -> DataFrame:
-    """The findings as Markdown, ``(line_no, line)``; a few lines per category."""
+    """The findings as Markdown, ``(line_no, line)``; a few lines per category.
+
+    Numbers stand in the order of ``METRICS``, categories by the gain of their best price.
+    """
     question = lookup("question_no - 1", QUESTIONS)
+    listed = ", ".join(quoted(m) for m in METRICS)
+    place = f"array_position(array({listed}), metric)"
+    bullet = _bullet(_title("metric"), "display")
     answers = (
         display_answers(answers)
         .groupBy("question_no")
-        .agg(*exprs(bullets=f"sort_array(collect_list({_bullet(_title('metric'), 'display')}))"))
+        .agg(*exprs(bullets=f"transform(sort_array(collect_list(struct({place} AS n, {bullet} AS b))), x -> x.b)"))
         .selectExpr(
             "10 + question_no AS ord",
+            "0D AS rank",
             f"concat(array(concat('### ', question_no, '. ', {question})), bullets) AS lines",
         )
     )
     cohorts = cohorts.selectExpr(
-        "30 + insight_no AS ord", f"array({_bullet(_title('insight'), 'display')}) AS lines"
+        "30 + insight_no AS ord", "0D AS rank", f"array({_bullet(_title('insight'), 'display')}) AS lines"
     )
     facts = [
         ("Current Average Price", "format_string('$%.2f', current_avg_price)"),
@@ -104,16 +119,18 @@ def report_lines(answers: DataFrame, cohorts: DataFrame, pricing: DataFrame) ->
     ]
     bullets = ", ".join(_bullet(f"'{name}'", value) for name, value in facts)
     pricing = pricing.selectExpr(
-        "50 AS ord", f"array(concat('### ', category), {bullets}) AS lines"
+        "50 AS ord", "0D - revenue_change_pct AS rank", f"array(concat('### ', category), {bullets}) AS lines"
     )
     titles = [(0, "# Business Insights Report")]
     titles += [(n, f"## Part {i}: {p}") for i, (n, p) in enumerate(zip((10, 30, 49), PARTS), 1)]
-    cells = ", ".join(f"{n}, array('{t}')" for n, t in titles)
-    headings = pricing.sparkSession.range(1).selectExpr(f"stack({len(titles)}, {cells}) AS (ord, lines)")
+    cells = ", ".join(f"{n}, 0D, array('{t}')" for n, t in titles)
+    headings = pricing.sparkSession.range(1).selectExpr(
+        f"stack({len(titles)}, {cells}) AS (ord, rank, lines)"
+    )
     return (
         headings.unionByName(answers)
         .unionByName(cohorts)
         .unionByName(pricing)
-        .selectExpr("ord", "lines[0] AS head", "posexplode(lines) AS (pos, line)")
-        .selectExpr("struct(ord, head, pos) AS line_no", "line")
+        .selectExpr("ord", "rank", "lines[0] AS head", "posexplode(lines) AS (pos, line)")
+        .selectExpr("struct(ord, rank, head, pos) AS line_no", "line")
     )
