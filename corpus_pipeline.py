@@ -6,22 +6,24 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, langid, mixing, near, substrings
+from tillroll.llm import bpe, langid, mixing, near, substrings  # first: the entry tells by it
 from tillroll.llm.catalog import RANKS, language_model
 from tillroll.sources.staging import staged
 
+import public_tokenizers  # isort: skip
+
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; a missing ``lang`` is filled in.
 
-    Rejected: texts without a letter, and those for whose best language the mean probability of
-    a word stays below ``LEAST_SCORE``.
+    Rejected: null and empty texts, texts without a letter, and those for whose best language the
+    mean probability of a word stays below ``LEAST_SCORE``.  Rows without an id and repeated rows
+    are judged like others.
     """
     found = langid.identify(docs, language_model(docs))
     kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
@@ -29,12 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group that similar texts connect."""
+    """One document, that of the least id, of each group that similar texts connect.
+
+    Of equal rows one stays; rows without an id stay if no row of their group has one.
+    """
     return near.one_per_class(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur elsewhere; documents of which nothing is left go."""
+    """Texts without the passages that occur elsewhere; documents of which nothing is left go.
+
+    Null, empty and short texts lose nothing; repeated rows count as separate texts.
+    """
     found = substrings.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return (
@@ -45,7 +53,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix of sources takes."""
+    """As many copies of each document as the mix of sources takes.
+
+    Documents without words have size 0; ties among equal rows go by a hash of id and text.
+    """
     mixed = mixing.balanced_mix(docs, key=F.xxhash64("doc_id", "text")).where("copies > 0")
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
     return mixed.select(*docs.columns, copies).drop("_copy")
