@@ -174,6 +174,19 @@ def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("Metric string, Value string").option("header", True).csv(path)
 
 
+def customers_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per year and segment, from kept monthly sketches and exactly, and if they are near."""
+    columns = ["customer_id", "customer_segment", "order_date", "order_status"]
+    kept = staged(cohorts.customer_sketches(sales(spark, sf_dir, columns)), "customer-sketches")
+    found = cohorts.distinct_customers(kept, ["customer_segment"], year="cast(left(month, 4) as int)")
+    exact = reports.delivered(sales(spark, sf_dir, columns)).groupBy(
+        F.year("order_date").alias("year"), "customer_segment"
+    )
+    exact = exact.agg(F.count_distinct("customer_id").alias("customers"))
+    near = "abs(estimate - customers) <= 0.05D * customers AS near"
+    return found.join(exact, ["year", "customer_segment"]).selectExpr("year", "customer_segment", "customers", near)
+
+
 _category = ["product_category", "order_status", "revenue", "order_id", "quantity", "customer_rating"]
 _region = ["region", "order_status", "revenue", "order_id", "profit", "discount_pct"]
 _segment = [
@@ -262,6 +275,7 @@ QUERIES: dict[str, Query] = {
     "cohort_insights": over_table(
         cohorts.cohort_insights, [*COHORT, "order_id", "customer_rating", "customer_segment"]
     ),
+    "customers_by_sketch": customers_by_sketch,
     "cohort_overview": over_sales(cohorts.cohort_overview, ["customer_id", "order_date"]),
     "top10_ltv": over_sales(cohorts.top_customers, [*COHORT, "order_id", "customer_rating"]),
     "first10_cohorts": matrix(cohorts.first_cohorts, COHORT),

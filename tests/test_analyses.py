@@ -361,3 +361,16 @@ def test_statistics_read_the_table_once(spark, orders, tmp_path, monkeypatch):
     assert {r["stat"]: r["value"] for r in blank} == {
         "count": 0.0, "mean": None, "std": None, "min": None, "max": None, "skew": None, "kurtosis": None
     }
+
+
+def test_customers_of_any_months_from_kept_sketches(orders):
+    """Sketches of single months, made apart, count the customers of all of them together."""
+    def month(m, low, high):
+        rows = [{"customer_id": f"C{i}", "order_date": date(2022, m, 1 + i % 28)} for i in range(low, high)]
+        return orders(*rows, {"customer_id": None, "order_date": date(2022, m, 1)}, {"order_status": "Returned"})
+
+    kept = cohorts.customer_sketches(month(1, 0, 600)).unionByName(cohorts.customer_sketches(month(2, 300, 900)))
+    by_month = {r["month"]: r["estimate"] for r in rows_of(cohorts.distinct_customers(kept, ["month"]))}
+    assert all(abs(n - 600) <= 30 for n in by_month.values()) and len(by_month) == 2
+    (both,) = rows_of(cohorts.distinct_customers(kept, ["customer_segment"]))
+    assert abs(both["estimate"] - 900) <= 45

@@ -248,6 +248,32 @@ def clv_by_segment(df: DataFrame) -> DataFrame:
     )
 
 
+SKETCH_BITS = 14  # log2 of a sketch's registers: a standard error below one percent
+
+
+def customer_sketches(df: DataFrame, by: Sequence[str] = ("customer_segment",)) -> DataFrame:
+    """A distinct-count sketch of the customers per month and group: ``(month, by, customers)``.
+
+    Delivered orders.  The table is meant to be kept: a new month adds its rows, and any range of
+    months is counted from a few kilobytes per row, where a count of distinct ids, which does not
+    add up over months, would read every order again.
+    """
+    rows = delivered(df).filter("customer_id IS NOT NULL AND order_date IS NOT NULL")
+    return (
+        rows.selectExpr("date_format(order_date, 'yyyy-MM') AS month", *by, "customer_id")
+        .groupBy("month", *by)
+        .agg(*exprs(customers=f"hll_sketch_agg(customer_id, {SKETCH_BITS})"))
+    )
+
+
+def distinct_customers(sketches: DataFrame, by: Sequence[str], **labels: str) -> DataFrame:
+    """Estimated distinct customers per group of kept sketches; ``labels`` name further groupings."""
+    keyed = sketches.selectExpr("*", *[f"{sql} AS {name}" for name, sql in labels.items()])
+    return keyed.groupBy(*labels, *by).agg(
+        *exprs(estimate="hll_sketch_estimate(hll_union_agg(customers))")
+    )
+
+
 def cohort_insights(df: DataFrame) -> DataFrame:
     """Headline values: ``(insight_no, insight, value_num, value_str, display)``."""
     cells = cohort_cells(df)
