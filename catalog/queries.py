@@ -8,20 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exprs, money_sum
+from tillroll.functions.numeric import exprs, money_sum, rounded
 from tillroll.operators import (
+    arrivals,
     charts,
     cleaning,
     cohorts,
     defects,
+    frequent,
     insights,
+    moments,
     pricing,
     profile,
     reports,
     synth,
 )
 from tillroll.schema import CORRELATED_COLUMNS, RAW_COLUMNS
-from tillroll.sources import files
+from tillroll.sources import by_customer, files
 from tillroll.sources.staging import shared_folder, staged
 from tillroll.sources.star_schema import read_table, sales
 
@@ -187,6 +190,57 @@ def customers_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(exact, ["year", "customer_segment"]).selectExpr("year", "customer_segment", "customers", near)
 
 
+def frequent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent customers and products."""
+    columns = ["customer_id", "product_name"]
+    found = frequent.frequent_values(staged(sales(spark, sf_dir, columns), "sales"), columns)
+    return found.drop("proven")
+
+
+# The last months of the stored table come again with a delivery.
+DELIVERED_FROM, STORED_UNTIL = "2000-01-01", "2000-07-01"
+
+
+def new_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a delivery of raw orders that the stored ones lack."""
+    raw = staged(raw_orders(spark, sf_dir), "raw")
+    return arrivals.new_rows(
+        raw.filter(f"order_date >= '{DELIVERED_FROM}'"), raw.filter(f"order_date < '{STORED_UNTIL}'")
+    )
+
+
+def correlation_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation matrix of delivered orders from moments kept per day."""
+    rows = reports.delivered(sales(spark, sf_dir, ["order_date", "order_status", *CORRELATED_COLUMNS]))
+    kept = staged(moments.pair_moments(rows, moments.all_pairs(CORRELATED_COLUMNS), ["order_date"]), "pairs")
+    return moments.correlation_table(moments.merged_pairs(kept), CORRELATED_COLUMNS)
+
+
+def shape_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation, skewness and kurtosis from moments kept per day, merged by month and again."""
+    rows = sales(spark, sf_dir, ["order_date", *CORRELATED_COLUMNS])
+    kept = staged(moments.shape_moments(rows, CORRELATED_COLUMNS, ["order_date"]), "shapes")
+    monthly = kept.selectExpr("date_format(order_date, 'yyyy-MM') AS month", *[c for c in kept.columns if c != "order_date"])
+    return moments.shapes(moments.merged_shapes(moments.merged_shapes(monthly, ["month"])))
+
+
+def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log quantity on log price per category, a line fitted from moments kept per day."""
+    columns = ["order_date", "order_status", "product_category", "unit_price", "quantity"]
+    rows = reports.delivered(sales(spark, sf_dir, columns))
+    pair = {"price|quantity": ("ln(unit_price)", "ln(quantity)")}
+    kept = staged(moments.pair_moments(rows, pair, ["order_date", "product_category"]), "lines")
+    fitted = moments.lines(moments.merged_pairs(kept, ["product_category"]))
+    return fitted.selectExpr(
+        "product_category", "n", f"{rounded('slope', 4)} AS slope", f"{rounded('r2', 4)} AS r_squared"
+    )
+
+
+def by_bucket(operator: Callable[..., DataFrame], columns: list[str]) -> Query:
+    """An operator over orders stored in buckets by customer."""
+    return lambda spark, sf_dir: operator(by_customer.store_by_customer(sales(spark, sf_dir, columns)))
+
+
 _category = ["product_category", "order_status", "revenue", "order_id", "quantity", "customer_rating"]
 _region = ["region", "order_status", "revenue", "order_id", "profit", "discount_pct"]
 _segment = [
@@ -217,6 +271,10 @@ QUERIES: dict[str, Query] = {
     "summary_stats": over_sales(reports.summary_statistics, reports.DESCRIBED_COLUMNS),
     "summary_stats_date": over_sales(reports.describe_dates, ["order_date"]),
     "categorical_summary": over_sales(reports.categorical_summary),
+    "frequent_ids": frequent_ids,
+    "correlation_by_day": correlation_by_day,
+    "shape_by_day": shape_by_day,
+    "price_lines": price_lines,
     # Business questions
     "yearly_growth": over_sales(
         reports.yearly_growth, ["order_year", "order_status", "revenue"]
@@ -261,6 +319,12 @@ QUERIES: dict[str, Query] = {
     "cohort_orders": over_sales(
         cohorts.cohort_orders, ["order_id", "customer_id", "order_date", "order_status", "revenue"]
     ),
+    "cohort_orders_bucketed": by_bucket(
+        by_customer.cohort_orders, ["order_id", "customer_id", "order_date", "order_status", "revenue"]
+    ),
+    "customer_ltv_bucketed": by_bucket(
+        lambda orders: orders.per_customer(cohorts.customer_values), [*COHORT, "order_id", "customer_rating"]
+    ),
     "retention_long": over_sales(cohorts.retention_long, COHORT),
     "retention_matrix": matrix(cohorts.retention_table, COHORT),
     "retention_absolute": matrix(cohorts.retention_table_absolute, COHORT),
@@ -290,6 +354,7 @@ QUERIES: dict[str, Query] = {
     # Defects, cleaning, synthetic orders
     "inject_defects": raw_orders,
     "dedup": over_raw(cleaning.remove_duplicates),
+    "new_arrivals": new_arrivals,
     "fix_types": over_raw(cleaning.fix_data_types),
     "standardize": over_raw(cleaning.standardize_categories),
     "imputation_values": over_raw(

@@ -62,7 +62,8 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize(
-    "name", ["revenue_by_region", "market_share", "retention_long", "price_scenarios", "clean_sales", "validate"]
+    "name", ["revenue_by_region", "market_share", "retention_long", "price_scenarios", "clean_sales", "validate",
+     "frequent_ids", "new_arrivals", "correlation_by_day", "price_lines", "cohort_orders_bucketed"]
 )
 def test_plans_have_no_cross_join_and_no_python(spark, name):
     plan = plan_of(queries()[name](spark, SF_DIR))
