@@ -170,23 +170,85 @@ def test_languages_of_few_words_are_learned():
     assert out.column("lang_pred").to_pylist() == ["ja", "en"]
 
 
-def test_licences_found_and_prose_left_alone(spark):
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+
+
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining
+ * a copy of this software and associated documentation files (the "Software"),
+ * to deal in the Software without restriction, including without limitation
+ * the rights to use, copy, modify, merge, publish, distribute, sublicense,
+ * and/or sell copies of the Software."""
+NOTICES = [
+    ("Prose line.\nReleased under the MIT License.", "MIT"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL"),
+    (WRAPPED, "MIT"),
+    ("Licensed\tunder\tthe\tMIT\tLicense.", "MIT"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is "
+     "distributed on an \"AS IS\" BASIS.", "Apache-2.0"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse.", "BSD"),
+    ("SPDX-License-Identifier: CDDL-1.0", "unknown"),
+    ("Licensed under the EUPL, Version 1.2 or later versions approved by the European Commission.", "unknown"),
+    ("This program is made available under the terms of the Eclipse Public License v2.0.", "unknown"),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License.", "unknown"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "unknown"),
+    ("Licensed under the Artistic License 2.0, which accompanies this distribution.", "unknown"),
+    ("Distributed under the terms of the CeCILL license version 2.1.", "unknown"),
+    ("This software is licensed under the Microsoft Public License.", "unknown"),
+    ("You may use this file under the terms of the PostgreSQL licence.", "unknown"),
+    ("This package is released under the University licence, all rights reserved.", "unknown"),
+]
+PROSE = [
+    "Of ing the thorer and thed rethin on the.",
+    "Subject to the terms of this Agreement the seller shall hand over the vessel to the buyer on the first of May.",
+    "The dog sat on the mat and read the paper.",
+    None,
+    "",
+    " \n\n ",
+    "word " * 50_000,
+]
+
+
+def test_licences_found_and_prose_left_alone(spark, licence_model):
+    rows = [(i, t, 1.0, "kept") for i, t in enumerate([t for t, _ in NOTICES] + PROSE)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, prediction double, features string")
+    got = licences.scan(odd, licence_model).collect()
+    assert len(got) == len({r["doc_id"] for r in got})  # a wrapped paragraph is one finding
+    found = {r["doc_id"]: r for r in got}
+    for i, (text, family) in enumerate(NOTICES):
+        if family != "unknown":
+            assert found[i]["family"] == family and found[i]["confirmed"], text
+        else:
+            assert i not in found or not found[i]["confirmed"], text
+    strangers = [i for i, (_, family) in enumerate(NOTICES) if family == "unknown"]
+    assert 11 in found and sum(i in found for i in strangers) >= 0.9 * len(strangers)
+    assert not {i for i in found if i >= len(NOTICES)}
+    assert found[0]["paragraph"] == 1 and (found[0]["prediction"], found[0]["features"]) == (1.0, "kept")
+
+
+def test_licences_of_families_left_out_of_training_are_unknown(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    model = licences.fit(docs)
-    texts = [
-        "Prose line.\nReleased under the MIT License.",
-        "Licensed under the Apache License, Version 2.0.",
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This text is licensed under the licence of our village club.",
-        "Of ing the thorer and thed rethin on the.",
-        None,
-        "",
-    ]
-    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = {r["doc_id"]: r for r in licences.scan(odd, model).collect()}
-    assert [found[i]["family"] for i in (0, 1, 2)] == ["MIT", "Apache-2.0", "GPL"]
-    assert found[0]["paragraph"] == 1 and not {4, 5, 6} & set(found)
-    assert 3 not in found or found[3]["family"] == "unknown"
+    out = {"MPL-2.0", "Zlib", "BSL-1.0"}
+    kept = [(f, t) for f, t in licences.TEMPLATES if f not in out]
+    left = [t for f, t in licences.TEMPLATES if f in out]
+    model = licences.fit(docs, notices=kept)
+    odd = spark.createDataFrame(list(enumerate(left)), "doc_id int, text string")
+    got = {r["doc_id"]: r["family"] for r in licences.scan(odd, model).collect()}
+    assert set(got.values()) == {"unknown"} and len(got) >= 0.9 * len(left)
+
+
+def test_licences_of_repeated_rows_and_of_no_rows(spark, licence_model):
+    notice = NOTICES[1][0]
+    twice = spark.createDataFrame([(None, notice), (None, notice)], "doc_id int, text string")
+    assert [r["family"] for r in licences.scan(twice, licence_model).collect()] == ["Apache-2.0"] * 2
+    assert licences.scan(twice.limit(0), licence_model).count() == 0
+    assert licences.fit(twice.limit(0)).temperature > 0
 
 
 def test_training_holds_the_spans_alone():

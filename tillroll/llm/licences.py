@@ -17,55 +17,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.llm.notices import LICENCE_WORDS, OTHERS, PLAIN, TELLING, TEMPLATES, UNKNOWN
 from tillroll.sources.staging import staged
 
-PLAIN = "plain"
-UNKNOWN = "unknown"
 SAMPLE_DOCS = 300
-EDGES = ".,;:!?()[]{}<>\"'*#&%$|"
+EDGES = ".,;:!?()[]{}<>\"'*#&%$|/"
+# A blank line ends a paragraph, and so does a line that ends a sentence; other lines are wrapped.
+PARAGRAPH_END = r"\n[ \t\r]*\n|(?<=[.!?:][^\p{L}\p{N}\n]{0,8})\n"
 SPAN_WORDS = (4, 6, 8, 12, 20, 40)
-
-# Openings and notices of public licences, as they are used in the wild.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL", "Licensed under the GNU Affero General Public License, version 3, as published by the Free Software Foundation."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
-    ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal Public Domain Dedication."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-]
-# Licence-like text of no family above, and plain text that shares words with licences.
-OTHERS = [
-    (UNKNOWN, "Licensed under the terms of the custom license agreement that comes with this product."),
-    (UNKNOWN, "This document is licensed under the Example Source License, version 1. All other rights are reserved by the licensor."),
-    (UNKNOWN, "You may use this material under the license terms of the publisher only; redistribution is not permitted without written permission."),
-    (UNKNOWN, "Released under a proprietary license. Copying and distribution of this file are prohibited."),
-    (PLAIN, "She renewed her driving license in the spring and the clerk asked for a copy of the form."),
-    (PLAIN, "The council granted permission to build, free of charge, under the general terms of the plan."),
-    (PLAIN, "The museum has the right to show the work to the public, and the author will read from version two."),
-    (PLAIN, "Common people created new software for the library, and any later visitor could use it at will."),
-]
-
+FOLDS = 5
+MARKER = "spdx-license-identifier"
+FEATURES, PREDICTION, RAW = "_licence_features", "_licence_class", "_licence_scores"
 
 def words_of(text: Column) -> Column:
-    """Lower-case words between spaces, without punctuation around them."""
+    """Lower-case words between white space, without punctuation around them."""
     return F.filter(
-        F.transform(F.split(F.lower(text), " "), lambda w: F.btrim(w, F.lit(EDGES))), lambda w: w != ""
+        F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))), lambda w: w != ""
     )
 
 
@@ -80,35 +47,38 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def _template_grams(text: str) -> list[str]:
-    words = [w for w in (x.strip(EDGES) for x in text.lower().split(" ")) if w]
+    words = [w for w in (x.strip(EDGES) for x in text.lower().split()) if w]
     return sorted({" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))})
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line with a letter: the row of ``docs``, ``paragraph`` number and its ``line``."""
+    """One row per paragraph with a letter: the row of ``docs``, ``paragraph`` number and its text as ``line``."""
     kept = [c for c in docs.columns if c != text]
-    rows = docs.select(*kept, F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
+    rows = docs.select(*kept, F.posexplode(F.split(F.col(text), PARAGRAPH_END)).alias("paragraph", "line"))
     return rows.where(F.col("line").rlike(r"\p{L}"))
 
 
 def _vectors(df: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Sparse vectors over the grams of the templates: no other gram could carry evidence."""
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", binary=True)
-    return counter.transform(df)
+    """Sparse vectors over the word pairs of the notices and the words that speak of licences."""
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol=FEATURES, binary=True)
+    return counter.transform(df.withColumn("_terms", F.concat("_grams", "_words"))).drop("_terms")
+
+
+def _index(labels: list[str]) -> Column:
+    return (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("family")) - 1).cast("double")
 
 
 def _spans(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """Whole templates and word spans of them, the training rows of the families."""
-    rows = spark.range(1).select(
-        F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("line")) for f, t in known])).alias("r")
-    ).select("r.*")
+    """Whole notices and word spans of them, the training rows of the families, with the fold of the notice."""
+    rows = spark.createDataFrame([(f, t, i % FOLDS) for i, (f, t) in enumerate(known)], "family string, line string, fold int")
     rows = rows.withColumn("words", words_of(F.col("line")))
     cuts = F.array(*[F.lit(n) for n in SPAN_WORDS])
     starts = F.explode(F.sequence(F.lit(1), F.size("words"), F.lit(2)))
     spans = rows.withColumn("n", F.explode(cuts)).withColumn("at", starts).select(
-        "family", F.slice("words", F.col("at"), F.col("n")).alias("words")
+        "family", F.slice("words", F.col("at"), F.col("n")).alias("words"), "fold"
     ).where(F.size("words") >= 4)
-    return rows.select("family", "words").unionByName(spans).distinct()
+    every = rows.select("family", "words", "fold").unionByName(spans)
+    return every.groupBy("family", "words").agg(F.min("fold").alias("fold"))
 
 
 class LicenceModel(NamedTuple):
@@ -116,6 +86,7 @@ class LicenceModel(NamedTuple):
     vocabulary: list[str]
     labels: list[str]
     temperature: float
+    notices: list[tuple[str, str]]
 
 
 def _sample_lines(docs: DataFrame, text: str, sample_docs: int) -> DataFrame:
@@ -126,33 +97,60 @@ def _sample_lines(docs: DataFrame, text: str, sample_docs: int) -> DataFrame:
     return paragraphs(texts.select("text")).select("line").distinct()
 
 
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
-    """Train on template spans and on plain lines of ``sample_docs`` documents.
-
-    Lines that hold half of the grams of a template, or lie half in one, are not plain.
+def fit(
+    docs: DataFrame,
+    text: str = "text",
+    sample_docs: int = SAMPLE_DOCS,
+    notices: list[tuple[str, str]] | None = None,
+) -> LicenceModel:
+    """Train on spans of ``notices`` (family, paragraph) and on plain paragraphs of ``sample_docs`` documents.
+
+    Paragraphs of the corpus that hold half of the pairs of a notice, or lie half in one, or hold a
+    ``TELLING`` word are not taught as plain: a notice of a family not listed must not become prose.
+    The temperature comes from a model that has not seen a fifth of the notices.
     """
     spark = docs.sparkSession
-    labels = [PLAIN, UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
-    vocabulary = sorted({g for _, t in TEMPLATES + OTHERS for g in _template_grams(t)})
+    notices = TEMPLATES if notices is None else notices
+    labels = [PLAIN, UNKNOWN, *sorted({f for f, _ in notices})]
+    # An identifier of no family is any word: the marker before it has to speak for itself.
+    pairs = {
+        g for f, t in notices + OTHERS for g in _template_grams(t) if f != UNKNOWN or not g.startswith(MARKER)
+    }
+    vocabulary = sorted(pairs | set(LICENCE_WORDS))
     lines = staged(_sample_lines(docs, text, sample_docs).select(words_of(F.col("line")).alias("words")), "lines")
     lines = lines.where(F.size("words") > 0)
     lines = staged(lines.select("words", grams_of(F.col("words")).alias("grams")), "grams")
-    plain = lines.where(_agreement(F.col("grams"), None) < 0.5).select(F.lit(PLAIN).alias("family"), "words")
-    rows = _spans(spark, TEMPLATES + OTHERS).unionByName(plain)
-    index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("family")) - 1
-    fold = F.pmod(F.xxhash64(F.lit(3), "words"), F.lit(5))
-    rows = staged(rows.select("words", index.cast("double").alias("label"), fold.alias("fold")), "licences")
-    rows = rows.select(grams_of(F.col("words")).alias("grams"), "label", "fold")
-    vectors = _vectors(rows, vocabulary).select("features", "label", "fold")
-    model = LogisticRegression(
-        featuresCol="features", labelCol="label", family="multinomial", regParam=1e-4, maxIter=60
-    ).fit(vectors.where("fold > 0"))
-    return LicenceModel(model, vocabulary, labels, _temperature(model, vectors.where("fold = 0")))
+    telling = F.arrays_overlap("words", F.array(*[F.lit(w) for w in TELLING]))
+    plain = lines.where(~telling & (_agreement(F.col("grams"), None, notices) < 0.5))
+    fold = F.pmod(F.xxhash64(F.lit(3), "words"), F.lit(FOLDS)).cast("int")
+    plain = plain.select(F.lit(PLAIN).alias("family"), "words", fold.alias("fold"))
+    rows = _spans(spark, notices + OTHERS).unionByName(plain)
+    rows = staged(rows.select("words", _index(labels).alias("label"), "fold"), "licences")
+    rows = rows.select(F.col("words").alias("_words"), grams_of(F.col("words")).alias("_grams"), "label", "fold")
+    vectors = staged(_vectors(rows, vocabulary).select(FEATURES, "label", "fold"), "vectors")
+
+    def trained(part: DataFrame):
+        return LogisticRegression(
+            featuresCol=FEATURES,
+            labelCol="label",
+            predictionCol=PREDICTION,
+            rawPredictionCol=RAW,
+            probabilityCol="",
+            family="multinomial",
+            regParam=1e-4,
+            maxIter=60,
+        ).fit(part)
+
+    # A family whose notices are all in the held-out fold has no score to calibrate.
+    seen = vectors.where("fold > 0")
+    held_out = vectors.where("fold = 0").join(F.broadcast(seen.select("label").distinct()), "label", "left_semi")
+    temperature = _temperature(trained(seen), held_out)
+    return LicenceModel(trained(vectors), vocabulary, labels, temperature, notices)
 
 
 def _temperature(model, held_out: DataFrame) -> float:
-    """The divisor of the raw scores that makes held-out spans most likely."""
-    raw = model.transform(held_out).select("label", vector_to_array("rawPrediction").alias("raw"))
+    """The divisor of the raw scores, 3 at most, that makes held-out notices most likely."""
+    raw = model.transform(held_out).select("label", vector_to_array(RAW).alias("raw"))
     raw = staged(raw, "held-out")
     grid = [0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0]
     tried = raw.withColumn("t", F.explode(F.array(*[F.lit(t) for t in grid])))
@@ -163,19 +161,31 @@ def _temperature(model, held_out: DataFrame) -> float:
     return float(loss["t"]) if loss else 1.0
 
 
-def _agreement(grams: Column, family: Column | None) -> Column:
+def _shared_pairs(notices: list[tuple[str, str]]) -> set[str]:
+    """Pairs that notices of several families hold, as ``under the``: they tell no family from another."""
+    families: dict[str, set[str]] = {}
+    for family, text in notices + OTHERS:
+        for gram in _template_grams(text):
+            families.setdefault(gram, set()).add(family)
+    return {gram for gram, held in families.items() if len(held) > 1}
+
+
+def _agreement(grams: Column, family: Column | None, notices: list[tuple[str, str]]) -> Column:
     """How far a paragraph and a template hold each other, the best of the family's templates.
 
-    The larger of the shares of the paragraph's grams in the template and of the template's in
-    the paragraph.  Without a family the best of all templates.
+    The larger of the shares of the paragraph's pairs in the template and of the template's in the
+    paragraph, of pairs that are not shared by several families.  Without a family the best of all
+    templates.
     """
     out = F.lit(0.0)
-    distinct = F.array_distinct(grams)
-    for name in sorted({f for f, _ in TEMPLATES}):
-        best = []
-        for held in (_template_grams(t) for f, t in TEMPLATES if f == name):
-            common = F.size(F.array_intersect(distinct, F.array(*[F.lit(g) for g in held])))
-            best.append(common / F.least(F.size(distinct), F.lit(len(held))))
+    shared = _shared_pairs(notices)
+    own = F.array_except(grams, F.array(*[F.lit(g) for g in sorted(shared)]))
+    for name in sorted({f for f, _ in notices}):
+        best = [F.lit(0.0)]
+        for held in (set(_template_grams(t)) - shared for f, t in notices if f == name):
+            if held:
+                common = F.size(F.array_intersect(own, F.array(*[F.lit(g) for g in sorted(held)])))
+                best.append(common / F.greatest(F.least(F.size(own), F.lit(len(held))), F.lit(1)))
         top = F.greatest(*best) if len(best) > 1 else best[0]
         out = F.greatest(out, top) if family is None else F.when(family == name, top).otherwise(out)
     return out
@@ -190,25 +200,25 @@ def scan(
 ) -> DataFrame:
     """One row per paragraph that reads like a licence, whatever its family.
 
-    The columns of ``docs`` but the text, then ``paragraph`` (line number from 0), ``family``,
-    ``probability`` (of the likeliest licence class), ``agreement`` with the family's templates
+    The columns of ``docs`` but the text, then ``paragraph`` (its number in the text, from 0), ``family``,
+    ``probability`` (of the likeliest licence family), ``agreement`` with the family's templates
     and ``confirmed``.  Families that are not likely or not confirmed become ``unknown``.  Null and empty
-    texts have no paragraph; repeated rows are scanned like any other; columns of the given
-    result names are replaced.
+    texts have no paragraph; repeated rows are scanned like any other; columns of the given result names
+    are replaced, all others kept, whatever their names.
     """
-    made = ("paragraph", "line", "family", "probability", "agreement", "confirmed")
-    docs = docs.drop(*[c for c in made if c != text])
-    kept = [c for c in docs.columns if c != text]
-    rows = paragraphs(docs, text).withColumn("_words", words_of(F.col("line")))
-    vectors = _vectors(rows.withColumn("grams", grams_of(F.col("_words"))).drop("line"), model.vocabulary)
-    scored = model.classifier.transform(vectors).where("prediction > 0")  # class 0 is plain text
+    made = ("paragraph", "family", "probability", "agreement", "confirmed")
+    kept = [c for c in docs.columns if c != text and c not in made]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row") if kept else F.lit(None).alias("_row"), text)
+    rows = paragraphs(packed, text).withColumn("_words", words_of(F.col("line"))).drop("line")
+    vectors = _vectors(rows.withColumn("_grams", grams_of(F.col("_words"))), model.vocabulary)
+    scored = model.classifier.transform(vectors).where(F.col(PREDICTION) > 0)  # class 0 is plain text
     # The generator keeps the optimiser from writing the classifier into every use of its scores.
     scored = scored.select(
-        *kept, "paragraph", "grams", F.explode(F.array(vector_to_array("rawPrediction"))).alias("_raw")
+        "_row", "paragraph", "_grams", F.explode(F.array(vector_to_array(RAW))).alias("_raw")
     )
     top = F.array_max("_raw")
     odds = F.transform("_raw", lambda x: F.exp((x - top) / model.temperature))
-    scored = scored.withColumn("_odds", odds).where(F.size("grams") > 0)
+    scored = scored.withColumn("_odds", odds).where(F.size("_grams") > 0)
     total = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
     found = scored.withColumn("_p", F.transform("_odds", lambda x: x / total))
     families = F.slice("_p", 3, len(model.labels) - 2)
@@ -216,10 +226,10 @@ def scan(
     best = F.array_max(families)
     family = F.get(names, (F.array_position(families, best) - 1).cast("int"))
     found = found.withColumn("_family", family).withColumn("probability", best)
-    found = found.withColumn("agreement", _agreement(F.col("grams"), F.col("_family")))
+    found = found.withColumn("agreement", _agreement(F.col("_grams"), F.col("_family"), model.notices))
     confirmed = (F.col("probability") >= likely) & (F.col("agreement") >= agreeing)
     return found.select(
-        *kept,
+        *[F.col("_row").getField(c).alias(c) for c in kept],
         F.col("paragraph").cast("bigint").alias("paragraph"),
         F.when(confirmed, F.col("_family")).otherwise(UNKNOWN).alias("family"),
         "probability",
