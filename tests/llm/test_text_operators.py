@@ -1,6 +1,7 @@
 """Operators on texts against brute force, exact round trips and edge rows."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -102,6 +103,58 @@ def test_jaccard_classes_equal_brute_force(spark, sample):
     assert kept.count() == len(set(label.values())) and kept.columns == sample.columns
 
 
+def _variants(rng, n_words, n_new):
+    """Two texts of random words of which the second has ``n_new`` other words at its end."""
+    text = [str(rng.randrange(10**9)) for _ in range(n_words)]
+    return " ".join(text), " ".join(text[: n_words - n_new] + [str(rng.randrange(10**9)) for _ in range(n_new)])
+
+
+def test_prefixes_of_the_forest_are_shortened_for_texts_short_of_the_recall(spark):
+    rng = random.Random(5)
+    texts = [t for _ in range(60) for t in _variants(rng, 104, 10)]  # 90 of 110 shingles in common
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    # Two trees: 0.96 for a pair of 0.97 through prefixes of 7, 0.6 for one of 0.8 through prefixes of 4.
+    assert near.least_length(0.8, 0.6, 2, 7) == 4
+    found = {r["doc_id"]: r for r in near.jaccard_classes(docs, trees=2, recall=0.6).collect()}
+    lengths = [found[i]["prefix_length"] for i in range(0, len(texts), 2)]
+    assert len(set(lengths) - {None}) >= 3
+    assert sum(x is not None for x in lengths) >= 0.6 * len(lengths)
+    for i in range(0, len(texts), 2):
+        a, b = found[i], found[i + 1]
+        assert a["class_id"] == i and a["n_links"] == b["n_links"] == (lengths[i // 2] is not None)
+        assert b["class_id"] == (i if a["n_links"] else i + 1)
+
+
+def test_trie_nodes_span_partitions_and_content_texts_stop(spark):
+    rng = random.Random(6)
+    body = [str(rng.randrange(10**9)) for _ in range(300)]
+    same = [" ".join([*body, f"end{i}"]) for i in range(300)]  # one trie node of many texts in most trees
+    lone = _variants(rng, 104, 10)
+    texts = [*same, *lone, None, "", "word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 50)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r["doc_id"]: r for r in near.jaccard_classes(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert all(found[i]["class_id"] == 0 and found[i]["n_links"] == 299 and found[i]["prefix_length"] == 7 for i in range(300))
+    assert found[300]["n_links"] == found[301]["n_links"] == 1 and found[301]["class_id"] == 300
+    assert found[302]["class_id"] == found[303]["class_id"] == 302  # null counts as empty
+    assert found[304]["class_id"] == 304 and found[304]["prefix_length"] is None
+
+
+def test_one_per_class_keeps_columns_of_any_name(spark):
+    rows = [(2, "a b c", 1, "x", 7), (1, "a b c", 2, "y", 8), (None, "d", 3, "z", 9), (None, "d", 3, "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_links int, _key string, `row.b` int")
+    kept = near.one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[1:] for r in kept.collect()) == [("a b c", 2, "y", 8), ("d", 3, "z", 9)]
+
+
 def test_fingerprints_of_edits_and_estimates(sample):
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in sample.collect()))
     out = {}
