@@ -363,6 +363,30 @@ def test_statistics_read_the_table_once(spark, orders, tmp_path, monkeypatch):
     }
 
 
+def moved_for_moments(spark, describe):
+    """What ``describe`` returns, and the exchanges that the values go through on their way to its moments."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = describe()
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (first,) = [i for i, line in enumerate(lines) if "partial_sum" in line and "pow(" in line]
+    scan = next(i for i, line in enumerate(lines) if i > first and "FileScan" in line)
+    return found, [line for line in lines[first:scan] if "Exchange" in line]
+
+
+def test_no_task_gets_all_values_of_a_column(spark, orders):
+    """A price of its own in every row: values are summed where they were read, not shuffled by column."""
+    df = orders(*[{"unit_price": 10 + i / 7, "revenue": 1.0} for i in range(300)]).repartition(3)
+    found, moved = moved_for_moments(spark, lambda: reports.summary_statistics(df))
+    assert moved == []
+    got = {(r["column_name"], r["stat"]): r["value"] for r in found.collect()}
+    prices = df.toPandas()["unit_price"]
+    assert got["unit_price", "std"] == round(prices.std(), 2) and got["unit_price", "kurtosis"] == round(prices.kurt(), 2)
+    assert got["unit_price", "skew"] == 0.0 and got["revenue", "std"] == 0.0
+
+
 def test_customers_of_any_months_from_kept_sketches(orders):
     """Sketches of single months, made apart, count the customers of all of them together."""
     def month(m, low, high):

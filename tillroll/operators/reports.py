@@ -101,7 +101,9 @@ def describe_numbers(
         )
     )
     base = base.selectExpr("*", "(whole + micro / 1000000D) / n AS mean")
-    away = counted.join(base.selectExpr("column_name", "mean"), "column_name")
+    # One mean per column is broadcast: the values stay where they were read and are summed there,
+    # where a shuffle by column would bring all values of one to a single task.
+    away = counted.join(F.broadcast(base.selectExpr("column_name", "mean")), "column_name")
     powers = away.groupBy("column_name").agg(
         *exprs(**{f"m{k}": f"sum(_n * pow(_v - mean, {k}))" for k in (2, 3, 4)})
     )
