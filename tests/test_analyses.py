@@ -387,6 +387,18 @@ def test_no_task_gets_all_values_of_a_column(spark, orders):
     assert got["unit_price", "skew"] == 0.0 and got["revenue", "std"] == 0.0
 
 
+def test_no_task_gets_all_raw_values_of_a_column(spark):
+    """Likewise for raw cells, of which some are no numbers and one column has none."""
+    cells = "CASE WHEN id % 10 = 0 THEN 'n/a' ELSE cast(id / 7 as string) END AS unit_price"
+    raw = spark.range(0, 300, 1, 3).selectExpr(cells, "cast(null as string) AS cost")
+    found, moved = moved_for_moments(spark, lambda: profile.raw_describe(raw))
+    assert moved == []
+    got = {(r["column_name"], r["stat"]): r["value"] for r in found.collect()}
+    prices = np.array([i / 7 for i in range(300) if i % 10])
+    assert got["unit_price", "count"] == 270 and got["unit_price", "std"] == round(prices.std(ddof=1), 2)
+    assert got["cost", "count"] == 0 and got["cost", "std"] is None
+
+
 def test_customers_of_any_months_from_kept_sketches(orders):
     """Sketches of single months, made apart, count the customers of all of them together."""
     def month(m, low, high):
